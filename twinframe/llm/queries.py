@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, packing, simhash, topk, toxicity, urlfilter
+from . import bpe, chat, html_extract, media, packing, simhash, topk, toxicity, urlfilter
 from .common import table
 
 #: Vocabulary file of op10; the package that holds it is asked for its place when the query runs.
@@ -34,6 +34,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -61,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_simhash, op5_top_k, op6_chat_format, op7_url_filter, op8_media, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_simhash, op4_html, op5_top_k, op6_chat_format, op7_url_filter, op8_media, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
