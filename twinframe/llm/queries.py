@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, packing, simhash, topk, toxicity, urlfilter
+from . import bpe, chat, html_extract, media, packing, simhash, substring, topk, toxicity, urlfilter
 from .common import table
 
 #: Vocabulary file of op10; the package that holds it is asked for its place when the query runs.
@@ -58,6 +58,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_simhash, op4_html, op5_top_k, op6_chat_format, op7_url_filter, op8_media, op10_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_simhash, op4_html, op5_top_k, op6_chat_format, op7_url_filter, op8_media, op9_substring, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
