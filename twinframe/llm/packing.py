@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 N_BUCKETS, TOKEN_BUDGET, EXACT, SHARDS = 16, 32_768, 16_384, 256
 
 #: Fixed value: a word is a run of anything but ASCII white space.
@@ -76,7 +78,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bucket
     batch of its own; rows alike, and null ids, are kept and placed in a fixed but arbitrary order; an empty table gives none;
     other columns are not read.
     """
-    tokens = df.select(id_col, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    counted = df.select(id_col, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    tokens = stage(counted)  # texts are read and counted once; else each use of the number would count again
     bars = tokens.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
     ends = boundaries(np.array([r["length"] for r in bars], np.int64), np.array([r["n"] for r in bars], np.int64), n_buckets)
     ends = ends or [0]
