@@ -167,7 +167,7 @@ def backward(x, mask, w, side, keep, dout, grad) -> None:
     grad[f"{side}b"] += flat.sum(0)
 
 
-def train(n_pages: int = 4000, epochs: int = 8, seed: int = 7) -> dict[str, np.ndarray]:
+def train(n_pages: int = 8000, epochs: int = 10, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     data, held = examples(n_pages, seed), examples(400, seed + 1)
     w = {}
