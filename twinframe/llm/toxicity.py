@@ -65,7 +65,7 @@ def grams(words: list[str]):
     out, before, acc = [], None, np.zeros(len(codes), np.uint64)
     for n in range(1, ORDERS + 1):
         shifted = np.zeros(len(codes), np.uint64)
-        shifted[n - 1 :] = codes[: len(codes) - n + 1]
+        shifted[n - 1 :] = codes[: max(0, len(codes) - n + 1)]
         acc = acc + (shifted + np.uint64(1)) * np.uint64(pow(0x9E3779B97F4A7C15, 2 * n + 1, 2**64))
         h = (acc ^ (acc >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         slot = (h >> np.uint64(64 - BITS[n - 1])).astype(np.int64)
