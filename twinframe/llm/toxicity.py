@@ -8,7 +8,7 @@ window of WINDOW words; a logistic curve fitted on labelled rows that the models
 
 Counts grow with the corpus but tables don't: the n-grams of each order are hashed to a fixed number of slots (BITS), every
 document's counts go in, and no n-gram is dropped. That bounds what a task emits, what the driver gathers and what is broadcast
-(about 90 MB in all) at any size of the corpus; the price is that n-grams may share a slot.
+(at most 150 MB, a few MB for plain languages) at any size of the corpus; the price is that n-grams may share a slot.
 """
 
 from __future__ import annotations
@@ -139,6 +139,21 @@ def discount(counts: np.ndarray) -> float:
     return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9)) if once else 0.5
 
 
+def thin(tables: tuple) -> tuple:
+    return tuple((len(x), (at := np.flatnonzero(x).astype(np.int32)), x[at]) if isinstance(x, np.ndarray) else x for x in tables)
+
+
+def thick(tables: tuple) -> tuple:
+    out = []
+    for x in tables:
+        if isinstance(x, tuple):
+            size, at, values = x
+            x = np.zeros(size, np.float32)
+            x[at] = values
+        out.append(x)
+    return tuple(out)
+
+
 class Model:
     """Both classes' models over hashed counts, and the curve that makes differences scores."""
 
@@ -164,7 +179,11 @@ class Model:
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        """What is sent: of each table only the slots in use."""
+        return self.__dict__ | {"memo": {}, "shared": [thin(x) for x in self.shared], "classes": [[thin(x) for x in of] for of in self.classes]}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state | {"shared": [thick(x) for x in state["shared"]], "classes": [[thick(x) for x in of] for of in state["classes"]]}
 
     def differences(self, words: list[str]) -> np.ndarray:
         """log p_toxic - log p_ordinary of each word."""
