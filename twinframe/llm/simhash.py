@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from .common import components, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-TILE, SALTS = 2048, 8
+
+#: Fingerprints of a tile, least salts of a population count, and tile pairs for each task of the comparison (about 5 ms each, most skipped).
+TILE, SALTS, TILE_PAIRS = 1024, 8, 1000
+
+#: Partitions of the join at most.
+MOST_PARTS = 20_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -139,10 +144,15 @@ def compare(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (fp, id) that suffice to reach every one within the radius of another."""
     t = stage(tiles(fps))
-    left = t.select("pop", "first", "lo", "hi", "fps", "ids", F.pmod(F.xxhash64("first"), F.lit(SALTS)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("d"))
+    # the work grows with the square of the tiles: so do the join's partitions, and the salts that fill them
+    n = t.count()
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, n * n // TILE_PAIRS))
+    salts = max(SALTS, parts // 8)
+    left = t.select("pop", "first", "lo", "hi", "fps", "ids", F.pmod(F.xxhash64("first"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("d"))
     left = left.withColumn("key", F.col("pop") + F.col("d"))
-    right = t.select(F.col("pop").alias("key"), *(F.col(c).alias(f"r_{c}") for c in ("first", "lo", "hi", "fps", "ids")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    right = t.select(F.col("pop").alias("key"), *(F.col(c).alias(f"r_{c}") for c in ("first", "lo", "hi", "fps", "ids")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
     gap = sum((F.greatest(F.lit(0), F.col("r_lo")[k] - F.col("hi")[k], F.col("lo")[k] - F.col("r_hi")[k]) for k in range(4)), F.lit(0))
+    left, right = (x.repartition(parts, "key", "salt") for x in (left, right))
     pairs = left.join(right, ["key", "salt"]).filter(gap <= radius).filter((F.col("d") > 0) | (F.col("first") <= F.col("r_first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
