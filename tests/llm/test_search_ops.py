@@ -105,6 +105,20 @@ def test_compact_windows_cover_all_subsequences_once():
                         assert (i, j) not in seen and g[i : j + 1].argmin() + i == c
                         seen[i, j] = c
         assert len(seen) == sum(1 for i in range(40) for j in range(i + 5, 40))
+    assert substring.compact_windows(np.array([5] * 30 + [9] * 30, np.uint64), 6) == [(0, 0, 59), (30, 30, 59)]
+
+
+def test_segments():
+    hit = np.array([c == "x" for c in "xx..xxxxxx.xxxxxx....x"])
+    assert substring.segments(hit, 4) == [(0, 2), (4, 17), (21, 22)] and substring.segments(hit, 8) == [(0, 2), (4, 10), (11, 17), (21, 22)]
+    assert substring.segments(np.zeros(3, bool), 2) == substring.segments(np.zeros(0, bool), 2) == []
+
+
+def test_passages_in_repetitive_texts(spark):
+    spam = " ".join(["spam"] * 4000 + ["ham", "eggs"] * 2000)
+    rows = [(1, spam), (2, spam + " tail"), (3, "a b c " * 3000), (4, " ".join(f"w{i}" for i in range(60)) + " " + "a b c " * 40)]
+    got = substring.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.source_doc_id) for x in got} == {(2, 1), (4, 3)}
 
 
 def planted(seed=6):
