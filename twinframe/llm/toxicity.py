@@ -30,7 +30,10 @@ BITS = (12, 16, 18, 20, 20)
 ORDERS = len(BITS)
 
 #: Words of the window; different words counted before they are turned into n-grams, and words remembered when scoring.
-WINDOW, COUNTED_WORDS, MEMO_WORDS = 4, 300_000, 400_000
+WINDOW, COUNTED_WORDS, MEMO_WORDS = 4, 100_000, 200_000
+
+#: Words turned into n-grams at a time, which bounds temporary arrays (about 40 MB).
+GRAM_WORDS = 20_000
 
 #: At most so many labelled rows fit the logistic curve (the bounded sample; the n-gram counts take all rows).
 CALIBRATION_ROWS = 20_000
@@ -81,7 +84,7 @@ class Tables:
     """Hashed counts of a task: for each order, three counts (toxic, ordinary, all) and the slots of context and suffix."""
 
     def __init__(self):
-        self.counts = [np.zeros((3, 1 << b)) for b in BITS]
+        self.counts = [np.zeros((3, 1 << b), np.int32) for b in BITS]  # of one task, whose input is a file split
         self.links = [np.zeros((2, 1 << b), np.int32) for b in BITS]
         self.words: list[Counter] = [Counter(), Counter(), Counter()]
 
@@ -95,14 +98,14 @@ class Tables:
             if not counter:
                 continue
             words = list(counter)
-            n_of = np.fromiter(counter.values(), np.float64, len(words))
-            for a in range(0, len(words), 50_000):
-                owner, _, orders = grams(words[a : a + 50_000])
+            n_of = np.fromiter(counter.values(), np.int32, len(words))
+            for a in range(0, len(words), GRAM_WORDS):
+                owner, _, orders = grams(words[a : a + GRAM_WORDS])
                 for n, at, slot, context, suffix in orders:
-                    c = np.bincount(slot, n_of[a : a + 50_000][owner[at]], 1 << BITS[n - 1])
-                    self.counts[n - 1][2] += c
+                    weight = n_of[a : a + GRAM_WORDS][owner[at]]
+                    np.add.at(self.counts[n - 1][2], slot, weight)
                     if kind != OTHER:
-                        self.counts[n - 1][1 - kind] += c  # row 0 toxic, row 1 ordinary
+                        np.add.at(self.counts[n - 1][1 - kind], slot, weight)  # row 0 toxic, row 1 ordinary
                     self.links[n - 1][0][slot], self.links[n - 1][1][slot] = context, suffix
             counter.clear()
 
@@ -111,7 +114,7 @@ class Tables:
         parts = []
         for n, (c, link) in enumerate(zip(self.counts, self.links, strict=True)):
             s = np.flatnonzero(c[2])
-            parts.append((np.full(len(s), n, np.int32), s.astype(np.int32), link[0][s], link[1][s], c[0][s], c[1][s], c[2][s]))
+            parts.append((np.full(len(s), n, np.int32), s.astype(np.int32), link[0][s], link[1][s], *(c[k][s].astype(np.float64) for k in range(3))))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["n", "slot", "context", "suffix", "toxic", "ordinary", "total"])
 
@@ -207,18 +210,20 @@ class Model:
         return total
 
     def features(self, text: str | None) -> tuple[float, float]:
-        words = words_of(text)
+        words = LETTERS.findall((text or "").lower())
         if not words or not self.usable:
             return 0.0, 0.0
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         if missing := list(set(words).difference(self.memo)):
-            for a in range(0, len(missing), 50_000):
-                self.memo.update(zip(missing[a : a + 50_000], self.differences(missing[a : a + 50_000]).tolist(), strict=True))
+            for a in range(0, len(missing), GRAM_WORDS):
+                self.memo.update(zip(missing[a : a + GRAM_WORDS], self.differences(missing[a : a + GRAM_WORDS]).tolist(), strict=True))
         d = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
         letters = np.fromiter(map(len, words), np.float64, len(words)) + 1
+        once = np.append(True, (d[1:] != d[:-1]) | (letters[1:] != letters[:-1]))  # as words_of(): a word in a row counts once
+        d, letters = d[once], letters[once]
         whole = d.sum() / letters.sum()
-        if len(words) <= WINDOW:
+        if len(d) <= WINDOW:
             return whole, whole
         a, b = np.cumsum(np.insert(d, 0, 0.0)), np.cumsum(np.insert(letters, 0, 0.0))
         return whole, float(((a[WINDOW:] - a[:-WINDOW]) / (b[WINDOW:] - b[:-WINDOW])).max())
