@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -59,10 +58,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint_column(text_col: str = "text", shingle: int = SHINGLE) -> Column:
     """The fingerprint of a text column as a signed long."""
 
-    @F.pandas_udf("long")
-    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).astype(np.int64))
+            yield pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
 
     return f(F.col(text_col))
 

@@ -142,51 +142,55 @@ def discount(counts: np.ndarray) -> float:
     return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9)) if once else 0.5
 
 
-def thin(tables: tuple) -> tuple:
-    return tuple((len(x), (at := np.flatnonzero(x).astype(np.int32)), x[at]) if isinstance(x, np.ndarray) else x for x in tables)
+class Sparse:
+    """Columns of numbers for the slots in use, found through an index of all slots; 0 for the rest."""
 
+    def __init__(self, size: int, *columns: np.ndarray):
+        self.size = size
+        self.at = np.flatnonzero(sum(c != 0 for c in columns)).astype(np.int32)
+        self.values = np.zeros((len(self.at) + 1, len(columns)), np.float32)
+        for k, c in enumerate(columns):
+            self.values[1:, k] = c[self.at]
+        self._index()
 
-def thick(tables: tuple) -> tuple:
-    out = []
-    for x in tables:
-        if isinstance(x, tuple):
-            size, at, values = x
-            x = np.zeros(size, np.float32)
-            x[at] = values
-        out.append(x)
-    return tuple(out)
+    def _index(self) -> None:
+        self.index = np.zeros(self.size, np.int32)
+        self.index[self.at] = np.arange(1, len(self.at) + 1)
+
+    def __getstate__(self):
+        return self.size, self.at, self.values
+
+    def __setstate__(self, state):
+        self.size, self.at, self.values = state
+        self._index()
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        return self.values[self.index[slots]].T
 
 
 class Model:
     """Both classes' models over hashed counts, and the curve that makes differences scores."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.shared, self.classes = [], []
+        self.grams, self.contexts, self.discounts = [], [], []
         by = [rows[rows.n == n] for n in range(ORDERS)]
         self.symbols = 1 + len(by[0])
         for n in range(ORDERS):
             size, r = 1 << BITS[n], by[n]
             before = 1 << BITS[n - 1] if n else 1
             slot, context = r.slot.to_numpy(), r.context.to_numpy() if n else np.zeros(len(r), int)
-            # lower orders: how many different letters precede the n-gram
-            seen = np.bincount(by[n + 1].suffix.to_numpy(), minlength=size).astype(np.float32) if n + 1 < ORDERS else np.bincount(slot, r.total, size).astype(np.float32)
-            own = seen[slot]
-            self.shared.append((seen, np.bincount(context, own, before).astype(np.float32), np.bincount(context, own > 0, before).astype(np.float32), discount(own)))
-            of = []
-            for name in ("toxic", "ordinary"):
-                c = r[name].to_numpy()
-                of.append((np.bincount(slot, c, size).astype(np.float32), np.bincount(context, c, before).astype(np.float32), np.bincount(context, c > 0, before).astype(np.float32), discount(c)))
-            self.classes.append(of)
+            # lower orders of the shared model: how many different letters precede the n-gram
+            seen = np.bincount(by[n + 1].suffix.to_numpy(), minlength=size) if n + 1 < ORDERS else np.bincount(slot, r.total, size)
+            own = [seen[slot], r.toxic.to_numpy(), r.ordinary.to_numpy()]
+            self.grams.append(Sparse(size, *(np.bincount(slot, c, size) for c in own)))
+            self.contexts.append(Sparse(before, *(np.bincount(context, x, before) for c in own for x in (c, (c > 0).astype(float)))))
+            self.discounts.append([discount(c) for c in own])
         self.usable = bool(rows.toxic.sum() > 0 and rows.ordinary.sum() > 0)
         self.weights = np.array([-2.0, 4.0, 2.0])
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):
-        """What is sent: of each table only the slots in use."""
-        return self.__dict__ | {"memo": {}, "shared": [thin(x) for x in self.shared], "classes": [[thin(x) for x in of] for of in self.classes]}
-
-    def __setstate__(self, state):
-        self.__dict__ |= state | {"shared": [thick(x) for x in state["shared"]], "classes": [[thick(x) for x in of] for of in state["classes"]]}
+        return self.__dict__ | {"memo": {}}
 
     def differences(self, words: list[str]) -> np.ndarray:
         """log p_toxic - log p_ordinary of each word."""
@@ -194,19 +198,18 @@ class Model:
         total = np.zeros(len(words))
         p = np.full(len(owner), 1.0 / self.symbols)  # shared probability of the orders so far
         for n, at, slot, context, _ in orders:
+            seen, below, discounts = self.grams[n - 1][slot], self.contexts[n - 1][context], self.discounts[n - 1]
+            q = p[at]
+
+            def probability(k: int, seen=seen, below=below, discounts=discounts, q=q) -> np.ndarray:
+                sums, kinds, d = below[2 * k], below[2 * k + 1], discounts[k]
+                return np.where(sums > 0, (np.maximum(seen[k] - d, 0) + d * kinds * q) / np.maximum(sums, 1e-9), q)
+
             top = np.ones(len(at), bool) if n == ORDERS else depth[at] == n - 1
             if top.any():
-                s, c, q, w = slot[top], context[top], p[at[top]], at[top]
-                logs = []
-                for seen, sums, kinds, d in self.classes[n - 1]:
-                    whole = np.maximum(sums[c], 1e-9)
-                    logs.append(np.log(np.where(sums[c] > 0, (np.maximum(seen[s] - d, 0) + d * kinds[c] * q) / whole, q)))
-                total += np.bincount(owner[w], logs[0] - logs[1], len(words))
-            seen, sums, kinds, d = self.shared[n - 1]
-            whole = np.maximum(sums[context], 1e-9)
-            q = p[at]
-            p[at] = np.where(sums[context] > 0, (np.maximum(seen[slot] - d, 0) + d * kinds[context] * q) / whole, q)
-            p[at] = np.maximum(p[at], 1e-12)
+                gain = np.log(probability(1)[top]) - np.log(probability(2)[top])
+                total += np.bincount(owner[at[top]], gain, len(words))
+            p[at] = np.maximum(probability(0), 1e-12)
         return total
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -276,14 +279,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_column(model: Model, text_col: str = "text") -> Column:
-    """A column of scores; the model has a fixed size and is broadcast."""
+    """A column of scores; the model has a bounded size and is broadcast."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for texts in batches:
-            yield pd.Series([m.score(t) for t in texts], dtype="float64")
+            yield pa.array([m.score(t.as_py()) for t in texts], pa.float64())
+        m.memo.clear()
 
     return score(F.col(text_col))
 
