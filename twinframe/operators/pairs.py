@@ -27,12 +27,17 @@ COMPARED = (
 TREES = "distance long, nodes int, same_skeleton boolean, same_operators boolean, operator_changed boolean"
 
 
-@F.pandas_udf(COMPARED)
-def sequences(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Alignment and anti-unification of statement sequences and their keys."""
-    columns = [c.split(" ")[0] for c in COMPARED.split(", ")]
-    for ls, lk, rs, rk in parts:
-        yield pd.DataFrame([compare({"statements": a, "statement_keys": k}, {"statements": b, "statement_keys": m}) for a, k, b, m in zip(map(list, ls), map(list, lk), map(list, rs), map(list, rk), strict=True)], columns=columns)
+def sequences(*columns: Column) -> Column:
+    """Alignment and anti-unification of statement sequences and their keys (left's two, right's two) as a struct."""
+
+    @F.pandas_udf(COMPARED)
+    def compared(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in COMPARED.split(", ")]
+        for ls, lk, rs, rk in parts:
+            rows = zip(map(list, ls), map(list, lk), map(list, rs), map(list, rk), strict=True)
+            yield pd.DataFrame([compare({"statements": a, "statement_keys": k}, {"statements": b, "statement_keys": m}) for a, k, b, m in rows], columns=names)
+
+    return compared(*columns)
 
 
 def tree_comparisons(pairs: DataFrame, limit: int) -> DataFrame:

@@ -327,7 +327,7 @@ def drafts(corpus: Corpus, clusters: DataFrame, rel: DataFrame, block_rows: Data
     k_roles = k.select("draft", F.explode("files").alias("file")).join(roles, "file").groupBy("draft").agg(F.collect_set("role").alias("file_roles"))
     constant = k.join(k_roles, "draft", "left").select(
         "draft", F.col("members").alias("member_count"), "files", F.coalesce("file_roles", F.array().cast("array<string>")).alias("file_roles"), F.col("places").alias("members"), "symbols", "line_span", F.lit(1).alias("constants"), F.lit("policy_constant").alias("target_type"), F.lit("same_language").alias("scope"),
-        F.when(F.col("kind") == "identical", "introduce_abstraction").otherwise("record_shared_concern").alias("requested_action"), F.array(F.lit("policy_constant_duplicate")).alias("evidence_kinds"), F.when(F.col("kind") == "identical", 0.04).otherwise(0.35).alias("lead_risk"), F.lit(1).alias("relation_pairs"),
+        F.when(F.col("kind") == "identical", "introduce_abstraction").otherwise("record_shared_concern").alias("requested_action"), F.array(F.lit("policy_constant_duplicate")).alias("evidence_kinds"), F.when(F.col("kind") == "identical", 0.04).otherwise(0.35).alias("lead_risk"), F.lit(1).alias("relation_pairs"), F.col("members").alias("covered_members"),
     )
     shown = ["draft", "member_count", "files", "file_roles", "members", "symbols", "line_span", "target_type", "scope", "requested_action", "evidence_kinds", "basis", "extraction", *NO_EVIDENCE]
     out = [filled(d).select(*shown) for d in (signature, inner_draft, block_draft, constant)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import groups
+from ..operators.graph import reliable
 from ..policy import Policy
 from ..vocab import TIERS
 
@@ -178,11 +179,14 @@ def cap(classified: DataFrame, policy: Policy | None = None) -> DataFrame:
 
 def findings(drafts: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Assessed drafts without equivalents and subsumed ones, ranked, with the surface on which each shows."""
-    out = cap(classify(recommend(score(drafts, policy), policy), policy), policy)
+    # each step uses the last one's columns many times; written in between, they are computed once and plans stay small
+    out = reliable(drafts)
+    for step in (score, recommend, classify, cap):
+        out = reliable(step(out, policy))
     rank = F.element_at(F.create_map(*[F.lit(x) for i, t in enumerate(TIERS) for x in (t, i)]), F.col("tier"))
     out = out.withColumns({"tier_rank": rank, "target_id": F.concat(F.lit("rt_"), F.substring(F.sha2(F.concat(F.lit("target_type="), "target_type", F.lit("\x1emembers="), F.array_join(F.array_sort(F.array_distinct("members")), "\x1f")), 256), 1, 12))})
     order = [F.col("tier_rank"), F.desc("attention"), F.col("target_type"), F.col("title"), F.col("draft_id")]
-    out = groups.equivalents(out, "members", order)
+    out = reliable(groups.equivalents(out, "members", order))
     actionable = out.filter(F.col("action").isin(*EDITS))
     out = out.join(groups.subsumed(actionable, "draft_id", "members", ["action", "target_type"], "tier_rank"), "draft_id", "left_anti")
     out = out.withColumns({
@@ -191,4 +195,4 @@ def findings(drafts: DataFrame, policy: Policy | None = None) -> DataFrame:
         "evidence_strength": F.when(F.col("exact_evidence") & (F.col("detection") >= 0.75), "strong").when(F.col("relation_pairs") > 0, "moderate").otherwise("weak"),
         "safety": F.when((F.col("risk") >= 0.65) | (F.col("cost") >= 0.65), "unsafe").when((F.col("risk") >= 0.30) | (F.col("cost") >= 0.45), "careful").otherwise("safe"),
     })
-    return groups.surfaces(groups.ranked(out, order), "target_id", "rank", "tier", "visible")
+    return groups.surfaces(groups.ranked(reliable(out), order), "target_id", "rank", "tier", "visible")
