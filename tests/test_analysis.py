@@ -44,7 +44,7 @@ def price(name, items="items", sub="subtotal", op="*", limit=50):
 
 SOURCES = {
     "pkg/one.py": "MAX_SIZES = {'a': 1, 'b': 2}\nMIN_SIZES = {'x': 1, 'y': 2, 'z': 3}\n" + price("total_price") + BLOCK.format(name="setup_first", head="prepare()", key="name", tail="return cache"),
-    "pkg/two.py": "MAX_SIZES = {'a': 1, 'b': 2}\nMIN_SIZES = {'x': 1, 'y': 2, 'z': 4}\n" + price("total_cost", "rows", "amount") + BLOCK.format(name="build_all", head="log(config)\n    a = config.x\n    b = other(a)\n    b.run()\n    while b:\n        b = b.next\n    with lock(a):\n        a.wait(1)\n    import sys\n    del a\n    sys.exit(b)\n    assert b\n    alpha(b)\n    beta(b, 1)\n    gamma(1)\n    delta(config, b)", key="title", tail="for x in cache:\n        emit(x)\n    send(cache, b)\n    return None"),
+    "pkg/two.py": "MAX_SIZES = {'a': 1, 'b': 2}\nMIN_SIZES = {'x': 1, 'y': 2, 'z': 4}\n" + price("total_cost", "rows", "amount") + BLOCK.format(name="build_all", head="log(config)\n    config.run(1)\n    while config.x:\n        config.next()\n    with lock(config):\n        config.wait(1)\n    assert config\n    alpha(config)\n    beta(config, 1)\n    gamma(1)\n    delta(config, config)", key="title", tail="for x in cache:\n        emit(x)\n    send(cache, x)\n    return None"),
     "pkg/three.py": price("total_sum", op="+"),
     "tests/test_price.py": price("total_price"),
     "pkg/broken.py": "def broken(:\n",
