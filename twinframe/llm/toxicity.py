@@ -30,7 +30,7 @@ BITS = (12, 16, 18, 20, 20)
 ORDERS = len(BITS)
 
 #: Words of the window; different words counted before they are turned into n-grams, and words remembered when scoring.
-WINDOW, COUNTED_WORDS, MEMO_WORDS = 4, 100_000, 200_000
+WINDOW, COUNTED_WORDS, MEMO_WORDS = 4, 200_000, 200_000
 
 #: Words turned into n-grams at a time, which bounds temporary arrays (about 40 MB).
 GRAM_WORDS = 20_000
@@ -212,15 +212,23 @@ class Model:
             p[at] = np.maximum(probability(0), 1e-12)
         return total
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        words = LETTERS.findall((text or "").lower())
-        if not words or not self.usable:
-            return 0.0, 0.0
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row of two numbers for each text. Words that the memo lacks are scored together, so texts should come many at a time."""
+        out = np.zeros((len(texts), 2))
+        if not self.usable:
+            return out
+        found = [LETTERS.findall((t or "").lower()) for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        if missing := list(set(words).difference(self.memo)):
-            for a in range(0, len(missing), GRAM_WORDS):
-                self.memo.update(zip(missing[a : a + GRAM_WORDS], self.differences(missing[a : a + GRAM_WORDS]).tolist(), strict=True))
+        missing = list(set().union(*found).difference(self.memo))
+        for a in range(0, len(missing), GRAM_WORDS):
+            self.memo.update(zip(missing[a : a + GRAM_WORDS], self.differences(missing[a : a + GRAM_WORDS]).tolist(), strict=True))
+        for i, words in enumerate(found):
+            if words:
+                out[i] = self._features(words)
+        return out
+
+    def _features(self, words: list[str]) -> tuple[float, float]:
         d = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
         letters = np.fromiter(map(len, words), np.float64, len(words)) + 1
         once = np.append(True, (d[1:] != d[:-1]) | (letters[1:] != letters[:-1]))  # as words_of(): a word in a row counts once
@@ -231,10 +239,10 @@ class Model:
         a, b = np.cumsum(np.insert(d, 0, 0.0)), np.cumsum(np.insert(letters, 0, 0.0))
         return whole, float(((a[WINDOW:] - a[:-WINDOW]) / (b[WINDOW:] - b[:-WINDOW])).max())
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.usable:
-            return 0.0
-        z = float(self.weights @ np.array([1.0, *self.features(text)]))
+            return np.zeros(len(texts))
+        z = np.hstack([np.ones((len(texts), 1)), self.features(texts)]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def calibrate(self, texts: list[str], labels: list[int]) -> None:
@@ -242,7 +250,7 @@ class Model:
         y = np.array(labels, float)
         if not self.usable or not 0 < y.sum() < len(y):
             return
-        x = np.array([[1.0, *self.features(t)] for t in texts])
+        x = np.hstack([np.ones((len(texts), 1)), np.vstack([self.features(texts[a : a + ROWS_AT_ONCE]) for a in range(0, len(texts), ROWS_AT_ONCE)])])
         w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
         for _ in range(30):
             q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
@@ -286,7 +294,8 @@ def score_column(model: Model, text_col: str = "text") -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for texts in batches:
-            yield pa.array([m.score(t.as_py()) for t in texts], pa.float64())
+            parts = [m.scores(texts.slice(a, ROWS_AT_ONCE).to_pylist()) for a in range(0, len(texts), ROWS_AT_ONCE)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
         m.memo.clear()
 
     return score(F.col(text_col))
