@@ -17,19 +17,31 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Salts of a node in joins with its minimum.
+SALTS = 4
+
+
+def with_minimum(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with m of low (u, m), one row for each u. Salted, so that a hot node's edges are dealt to several tasks, and so that both sides are dealt anew, which lets AQE split what is still too much."""
+    salted = low.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(salted, ["u", "s"]).drop("s")
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) for every linked node of edges (a, b) of any ordered type; root is its smallest reachable node.
 
-    Alternating large-star and small-star steps: grouped minima and equi-joins only, a logarithmic number of checkpointed rounds.
+    Alternating large-star and small-star steps until nothing changes: grouped minima, which are summed up before they are dealt
+    out, and salted equi-joins. The number of rounds grows with the logarithm of the longest chain; each is checkpointed. Null
+    ends and self-links are ignored.
     """
     e = reliable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = with_minimum(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = reliable(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct())
+        e = reliable(with_minimum(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break
