@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
+
 #: Rows that a Python worker holds as Python objects at a time.
 ROWS_AT_ONCE = 256
 
@@ -34,8 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a small table with a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return graph.reliable(df)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -79,26 +80,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tupl
     return df.mapInArrow(run, fields)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Connected components of links (a long, b long): one row (node, root) for every linked node, root its smallest reachable node.
-
-    Alternating large-star and small-star steps, each a grouped minimum and an equi-join, until nothing changes; the number
-    of rounds grows with the logarithm of the longest chain. Only rows (node, neighbour) move, a hot node is pre-aggregated
-    for its minimum and AQE may split its join. Each round is checkpointed. Null ends and self-links are ignored.
-    """
-    spark = edges.sparkSession
-    e = cut(edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # small star: every node's smaller neighbours and the node itself hang on the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of links (a long, b long): one row (node, root) for every linked node, root its smallest reachable node."""
+    return graph.components(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
