@@ -17,7 +17,7 @@ from ..functions import scalars as S
 from ..operators import blocks, buckets, content, graph, groups, pairs
 from ..policy import Policy
 from ..sources import files as sources
-from ..sources import python_code
+from ..sources import ecmascript, python_code
 from . import assess
 
 CORE = (
@@ -58,7 +58,12 @@ def extract(files: DataFrame) -> Corpus:
         for pdf in parts:
             rows = []
             for path, data, language, role in pdf.itertuples(index=False, name=None):
-                found = python_code.extract(path, bytes(data), role) if language == "Python" else ([], [], f"unsupported_language: {language}")
+                if language == "Python":
+                    found = python_code.extract(path, bytes(data), role)
+                elif vocab.FAMILIES.get(language) == "ecmascript":
+                    found = ecmascript.extract(path, bytes(data), role, language)
+                else:
+                    found = [], [], f"unsupported_language: {language}"
                 rows.append((path, role, *found))
             yield pd.DataFrame(rows, columns=["file", "role", "functions", "constants", "diagnostic"])
 
@@ -79,12 +84,12 @@ def details(functions: DataFrame) -> DataFrame:
     def run(parts):
         for pdf in parts:
             rows = []
-            for sid, source in pdf.itertuples(index=False, name=None):
-                d = python_code.detail_of(source)
-                rows.append({"signature_id": sid, "detail": d and {**d, "parameter_features": list(d["parameter_features"].items())} and d})
+            for sid, family, source in pdf.itertuples(index=False, name=None):
+                read = python_code.detail_of if family == "python" else ecmascript.detail_of
+                rows.append({"signature_id": sid, "detail": read(source)})
             yield pd.DataFrame(rows, columns=["signature_id", "detail"])
 
-    return functions.select("signature_id", "source").mapInPandas(run, f"signature_id string, detail {struct_of(DETAIL)}").select("signature_id", "detail.*")
+    return functions.select("signature_id", "language_family", "source").mapInPandas(run, f"signature_id string, detail {struct_of(DETAIL)}").select("signature_id", "detail.*")
 
 
 def shingles() -> Column:
