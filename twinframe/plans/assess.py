@@ -73,9 +73,21 @@ def score(drafts: DataFrame, policy: Policy | None = None) -> DataFrame:
     return out.withColumns({"detection_band": band(F.col("detection"), a.high, a.medium), "fit_band": band(F.col("fit"), a.high, a.medium), "payoff_band": band(F.col("payoff"), a.high, a.medium), "risk_band": band(F.col("risk"), a.risk_high, a.risk_medium)})
 
 
+def body_lines() -> Column:
+    """Lines of what would move: of the block if the draft is one, else of the largest member."""
+    return F.when(F.col("blocks") > 0, F.col("block_lines")).otherwise(F.col("max_body_lines"))
+
+
+def clone_gates(a) -> dict[str, Column]:
+    """What makes a clone clean, whatever it costs."""
+    pairs = F.when(F.col("duplicate_pairs") > 0, F.col("duplicate_pairs")).otherwise(F.col("relation_pairs"))
+    return {"clean_clone_relation": F.col("clean_clone"), "body_hash_or_near_identical_tree": (F.col("body_matches") > 0) | (F.col("lead_tree") >= a.clone_tree), "same_role_semantics": F.col("same_role_pairs") >= pairs}
+
+
 def gates(action: str, a) -> dict[str, Column]:
     """The conditions of an action by name."""
-    block = F.col("block_lines") >= a.block_lines
+    local = F.col("blocks") > 0
+    block = local & (body_lines() >= a.block_lines)
     out: dict[str, Column] = {}
     if action in (*EDITS, *NOTES):
         out["relation_detected"] = F.col("detection") >= a.detection
@@ -83,10 +95,16 @@ def gates(action: str, a) -> dict[str, Column]:
         out["maintenance_payoff"] = (F.col("payoff") >= a.review) | block | (F.col("editable_skeleton") if action == "consolidate_clone" else F.lit(False))
     wrapper = F.array_contains("evidence_kinds", "argument_normalization_wrapper")
     more = {
-        "consolidate_clone": {"clean_clone_relation": F.col("clean_clone"), "body_hash_or_near_identical_tree": (F.col("body_matches") > 0) | (F.col("lead_tree") >= a.clone_tree), "low_semantic_risk": F.col("risk") <= a.clone_risk, "low_abstraction_cost": F.col("cost") <= a.clone_cost, "same_role_semantics": F.col("same_role_pairs") >= F.col("relation_pairs")},
-        "extract_small_helper": {"local_block_or_shared_operation": block | wrapper, "small_body": block | F.col("max_body_lines").between(1, a.helper_lines), "low_abstraction_cost": F.col("cost") <= a.helper_cost, "low_semantic_risk": F.col("risk") <= a.helper_risk},
+        "consolidate_clone": {**clone_gates(a), "low_semantic_risk": F.col("risk") <= a.clone_risk, "low_abstraction_cost": F.col("cost") <= a.clone_cost},
+        "extract_small_helper": {
+            "substantial_local_block": ~local | block, "argument_normalization": local | wrapper, "same_downstream_operation": local | wrapper, "small_common_body": body_lines().between(1, a.helper_lines),
+            "low_abstraction_cost": F.col("cost") <= a.helper_cost, "low_semantic_risk": F.col("risk") <= a.helper_risk,
+        },
         "reuse_existing_helper": {"argument_normalization": wrapper, "shared_operation": wrapper, "simple_transform": wrapper, "existing_boundary": wrapper, "acceptable_risk": F.col("risk") < a.risk_high, "acceptable_cost": F.col("cost") < a.cost_high},
-        "introduce_abstraction": {"stable_region": (F.col("lead_stable") >= a.abstraction_stable) | (F.col("constants") > 0), "few_holes": F.col("lead_holes") <= a.abstraction_holes, "small_holes": F.col("lead_hole_size") <= a.abstraction_hole_size, "low_branch_delta": F.lit(True), "low_semantic_risk": F.col("risk") <= a.abstraction_risk, "manageable_cost": F.col("cost") <= a.abstraction_cost, "one_language": F.col("scope") != "analogous"},
+        "introduce_abstraction": {
+            "stable_region": (F.col("lead_stable") >= a.abstraction_stable) | (F.col("constants") > 0), "few_holes": F.col("lead_holes") <= a.abstraction_holes, "small_holes": F.col("lead_hole_size") <= a.abstraction_hole_size, "low_branch_delta": F.lit(True),
+            "low_semantic_risk": F.col("risk") <= a.abstraction_risk, "manageable_cost": F.col("cost") <= a.abstraction_cost, "one_language": F.col("scope") != "analogous",
+        },
         "record_shared_concern": {"shared_concern_only": F.col("detection") > 0},
         "inspect_shared_lifecycle": {"shared_lifecycle_only": F.col("detection") > 0},
     }
@@ -116,15 +134,15 @@ def recommend(scored: DataFrame, policy: Policy | None = None) -> DataFrame:
     out = out.withColumn("action_score", S.round4(F.when(F.col("action").isin(*EDITS), value).otherwise(0.0)))
     fell = F.col("action") != asked
     open_gates = (F.size(bad) > 0) & ~fell
-    calm = F.col("risk_band").isin("none", "low") & (F.col("cost") < a.medium)
+    block = (F.col("blocks") > 0) & (body_lines() >= a.block_lines)
     status = (
         F.when(F.col("action") == "do_not_refactor", "not_recommended")
         .when(F.col("action").isin("observe", *NOTES), "cautious")
         .when((F.col("risk") >= a.risk_high) | (F.col("cost") >= a.cost_high), "not_recommended")
         .when(open_gates, "cautious")
         .when((F.col("action") == "consolidate_clone") & (F.col("editable_skeleton") | (F.col("action_score") >= a.review)), "recommended")
-        .when((F.col("action") == "introduce_abstraction") & (F.col("constants") > 0) & calm, "recommended")
-        .when((F.col("action") == "extract_small_helper") & (F.col("block_lines") >= a.block_lines) & calm, "recommended")
+        .when((F.col("action") == "introduce_abstraction") & (F.col("constants") > 0) & (F.col("risk") <= a.abstraction_risk) & (F.col("cost") <= a.abstraction_cost), "recommended")
+        .when((F.col("action") == "extract_small_helper") & block & (F.col("risk") <= a.helper_risk) & (F.col("cost") <= a.helper_cost), "recommended")
         .when((F.col("action_score") >= a.recommended) & (F.col("risk") < a.risk_medium), "recommended")
         .otherwise("cautious")
     )
@@ -132,21 +150,32 @@ def recommend(scored: DataFrame, policy: Policy | None = None) -> DataFrame:
 
 
 def classify(recommended: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Adds the attention score and the tier."""
+    """Adds the attention score and the tier.
+
+    An edit's attention is its score; a note has attention only as a design concern: a sure and valuable recurrence that is risky
+    or costly, scored by just that.
+    """
     a = (policy or Policy()).decision
-    at_least = lambda c, *names: F.col(c).isin(*names)
-    clean = (F.col("action") == "consolidate_clone") & (F.size("failed_gates") == 0)
-    local = (F.col("action") == "extract_small_helper") & (F.col("block_lines") >= a.block_lines)
-    attention = S.round4(F.when(F.col("action").isin(*EDITS), F.greatest(F.col("action_score"), S.combine(F.col("detection"), F.col("payoff"), F.greatest("fit", F.lit(0.5))) * 0.5)).otherwise(S.combine(F.col("detection"), F.col("payoff")) * 0.5))
+    edit, note = F.col("action").isin(*EDITS), F.col("action").isin(*NOTES)
+    some = lambda c: F.col(c).isin("high", "medium")
+    clean = F.lit(True)
+    for gate in clone_gates(a).values():
+        clean = clean & gate
+    clean = (F.col("action") == "consolidate_clone") & F.coalesce(clean, F.lit(False))
+    helper = (F.col("action") == "extract_small_helper") & (F.col("blocks") > 0)
+    local = helper & body_lines().between(a.block_lines, a.helper_lines)
+    reuse = (F.col("action") == "reuse_existing_helper") & F.array_contains("evidence_kinds", "argument_normalization_wrapper")
+    evident = F.col("exact_evidence") | (F.col("relation_pairs") > 0) | F.array_contains("evidence_kinds", "argument_normalization_wrapper")
+    concern = note & evident & (F.col("detection") >= a.high) & (F.col("payoff_band") == "high") & (some("risk_band") | (F.col("cost") >= a.cost_high))
+    attention = F.when(reuse, F.greatest(F.lit(a.review), F.col("action_score"))).when(edit, F.col("action_score")).when(concern, S.round4(F.col("detection") * F.col("payoff") * F.greatest("risk", "cost"))).otherwise(0.0)
     out = recommended.withColumn("attention", attention)
-    edit = (
-        F.col("action").isin(*EDITS) & (F.col("status") == "recommended") & ((F.col("action_score") >= a.recommended) | clean | local)
-        & (at_least("detection_band", "high") | clean) & (at_least("payoff_band", "high", "medium") | clean | local) & at_least("fit_band", "high", "medium") & at_least("risk_band", "none", "low")
-    )
-    concern = F.col("action").isin(*NOTES) & at_least("detection_band", "high", "medium") & at_least("payoff_band", "high", "medium") & (F.col("relation_pairs") > 0)
-    review = ((F.col("attention") >= a.review) & at_least("detection_band", "high", "medium") & at_least("payoff_band", "high", "medium") & at_least("fit_band", "high", "medium") & ~at_least("risk_band", "high") & F.col("action").isin(*EDITS)) | concern
-    note = (F.col("detection") >= a.detection) & ((F.col("relation_pairs") > 0) | F.col("exact_evidence"))
-    return out.withColumn("tier", F.when(edit, "recommended_edit").when(review, "review_candidate").when(note, "maintenance_note").otherwise("observation"))
+    best = edit & (F.col("status") == "recommended") & ((F.col("action_score") >= a.recommended) | clean | local) & ((F.col("detection_band") == "high") | clean) & (some("payoff_band") | clean) & some("fit_band") & F.col("risk_band").isin("none", "low")
+    worth = some("detection_band") & (F.col("risk_band") != "high") & (reuse | ((some("payoff_band") | clean) & some("fit_band") & (some("payoff_band") | (F.col("status") == "recommended"))))
+    review = (F.col("attention") >= a.review) & (F.col("attention") > 0) & ((edit & worth) | concern)
+    stopped = (F.col("action") == "do_not_refactor") & (F.col("detection_band") == "high") & some("payoff_band")
+    modest = edit & some("detection_band") & (helper | (F.col("fit_band") == "low") | (F.col("payoff_band") == "low"))
+    noted = (note & some("detection_band")) | stopped | modest
+    return out.withColumn("tier", F.when(best, "recommended_edit").when(review, "review_candidate").when(noted, "maintenance_note").otherwise("observation"))
 
 
 def cap(classified: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -191,7 +220,8 @@ def findings(drafts: DataFrame, policy: Policy | None = None) -> DataFrame:
     out = out.join(groups.subsumed(actionable, "draft_id", "members", ["action", "target_type"], "tier_rank"), "draft_id", "left_anti")
     out = out.withColumns({
         "visible": F.col("tier") != "observation",
-        "summary_eligible": (F.col("tier") != "observation") & (F.col("payoff_band").isin("high", "medium") | (F.col("tier") == "recommended_edit")) & ~F.col("action").isin("observe", "do_not_refactor"),
+        "visibility": F.when(F.col("tier").isin("recommended_edit", "review_candidate"), "listed").when(F.col("tier") == "maintenance_note", "grouped").otherwise("sidecar_only"),
+        "summary_eligible": (F.col("tier") == "recommended_edit") | ((F.col("tier") == "review_candidate") & F.col("payoff_band").isin("high", "medium") & (F.col("fit") >= 0.45) & F.col("action").isin(*EDITS)),
         "evidence_strength": F.when(F.col("exact_evidence") & (F.col("detection") >= 0.75), "strong").when(F.col("relation_pairs") > 0, "moderate").otherwise("weak"),
         "safety": F.when((F.col("risk") >= 0.65) | (F.col("cost") >= 0.65), "unsafe").when((F.col("risk") >= 0.30) | (F.col("cost") >= 0.45), "careful").otherwise("safe"),
     })
