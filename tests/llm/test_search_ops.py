@@ -153,7 +153,7 @@ def test_passages(spark):
         if key:  # the passage is found whole, and little more
             assert abs((x.end - x.start) - len(passage[key])) <= 8
     assert {x.doc_id: x.class_id for x in got} == {9: 3, 21: 20, 22: 20, 40: 3, 41: 3, 58: 57}
-    kept = {x.doc_id: x.text for x in substring.drop_repeats(d.drop("start")).collect()}
+    kept = {x.doc_id: x.text for x in substring.drop_repeats(d.withColumnRenamed("start", "doc")).collect()}
     assert set(kept) == set(docs) - {58} | {70, 71, None} and kept[3] == " ".join(docs[3]) and kept[70] is None
     assert " ".join(passage["a"][5:45]) not in kept[9] and " ".join(passage["b"]) in kept[20] and " ".join(passage["short"]) in kept[51]
     assert len(kept[9].split()) >= len(docs[9]) - 52 - 120 and kept[59] == " ".join(docs[59])
