@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +17,9 @@ from ..operators import graph
 #: Rows that a Python worker holds as Python objects at a time.
 ROWS_AT_ONCE = 256
 
+#: Rows of an Arrow batch in the jobs that run here.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,16 +38,30 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While jobs run inside, Python workers get texts BATCH_ROWS at a time, which bounds what workers and executors hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of a small table with a reliable checkpoint."""
-    return graph.reliable(df)
+    with small_batches(df.sparkSession):
+        return graph.reliable(df)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Writes a large intermediate as compressed Parquet in the shared folder and reads it back; removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/twinframe-stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     jvm, jconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def remove() -> None:

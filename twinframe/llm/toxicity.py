@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE
+from .common import ROWS_AT_ONCE, small_batches
 
 #: log2 of the slots of each order, from single letters on.
 BITS = (12, 16, 18, 20, 20)
@@ -133,7 +133,8 @@ def count(df: DataFrame) -> pd.DataFrame:
 
     rows = df.select("text", "kind").mapInArrow(run, "n int, slot int, context int, suffix int, toxic double, ordinary double, total double")
     summed = rows.groupBy("n", "slot").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("total").alias("total"))
-    return summed.toArrow().to_pandas()
+    with small_batches(df.sparkSession):
+        return summed.toArrow().to_pandas()
 
 
 def discount(counts: np.ndarray) -> float:
