@@ -181,6 +181,13 @@ def test_blocks_and_findings(found):
     assert kinds == {"identical", "drifted"}
 
 
+def test_constant_confidence(found):
+    rows = {r.kind: r for r in analyze.constant_clusters(found.corpus.constants).collect()}
+    assert set(rows) == {"identical", "drifted"} and rows["identical"].members == 2
+    assert rows["identical"].confidence == pytest.approx(round(1 - 0.12 * 0.15, 4)) == rows["identical"].action_confidence
+    assert rows["drifted"].overlap == pytest.approx(2 / 3) and rows["drifted"].confidence == pytest.approx(round(2 / 3 * (1 - 0.12 * 0.15), 4))
+
+
 def test_completeness_and_ordinals(found):
     c = analyze.completeness(found.corpus).first()
     assert (c.files, c.analysed, c.failed, c.unsupported, c.coverage) == (8, 5, 1, 0, "partial")
@@ -195,7 +202,8 @@ def test_reports(spark, found, tmp_path):
     first = found.findings.filter("visible").orderBy("rank").first()
     assert reports.read_back(spark, str(out), first.target_id).first()["rank"] == first["rank"]
     assert json.loads((out / "metrics.json").read_text())["tiers"].keys() == {"recommended_edit", "review_candidate", "maintenance_note", "observation"}
-    reports.write(found, str(out))
+    ci = reports.ci_payload(reports.write(found, str(out)), str(out))
+    assert ci["ci"]["exit_code"] == int(ci["findings"]["recommended_edit"] > 0) and len(ci["artifacts"]) == 4
     other = tmp_path / "other"
     other.mkdir()
     (other / "mine.txt").write_text("x")

@@ -26,6 +26,9 @@ def analyze(args) -> int:
     metrics = reports.write(found, c.output, args.target_limit, args.debug, {"digest": c.digest})
     if args.format == "json":
         print(json.dumps(metrics, sort_keys=True))
+    elif args.format == "ci":
+        few = reports.lean(found.findings).filter("size(members) <= 12").orderBy("rank").limit(10).toJSON().collect()
+        print(json.dumps(reports.ci_payload(metrics, c.output, [json.loads(x) for x in few]), sort_keys=True))
     elif args.format == "ndjson":
         for row in reports.lean(found.findings).orderBy("rank").limit(args.target_limit).toJSON().collect():
             print(row)
@@ -91,7 +94,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("path", nargs="?", default=".")
         if name == "analyze":
             p.add_argument("--output")
-            p.add_argument("--format", choices=("text", "json", "ndjson"), default="text")
+            p.add_argument("--format", choices=("text", "json", "ndjson", "ci"), default="text")
             p.add_argument("--target-limit", type=int, default=50)
             p.add_argument("--debug", action="store_true")
             p.add_argument("--no-split-test", dest="split_test", action="store_false", default=None)

@@ -26,7 +26,7 @@ CORE = (
     "statement_spans array<struct<start:int,end:int>>, calls array<string>, controls array<string>, branch_count int, loop_count int, return_count int, max_nesting int, is_async boolean, is_public boolean, "
     "semantic_roles array<string>, duplicate_blocks array<struct<fingerprint:string,kind:string,statement_count:int,line_count:int,occurrences:array<struct<start_line:int,end_line:int>>>>, source string"
 )
-CONSTANT = "symbol string, normalized_symbol string, start_line int, end_line int, literal_kind string, literal_hash string, literal_items array<string>"
+CONSTANT = "symbol string, normalized_symbol string, start_line int, end_line int, literal_kind string, literal_preview string, literal_hash string, literal_items array<string>"
 DETAIL = (
     "parameter_default_roles array<string>, graph_features array<string>, literal_shapes array<string>, receiver_shapes array<string>, parameter_features map<string,array<string>>, transforms array<string>, "
     "statement_arg_reads array<struct<idx:int,roles:array<string>>>, tree struct<label:array<string>,arity:array<int>>"
@@ -234,20 +234,39 @@ def shared_blocks(functions: DataFrame, related: DataFrame, policy: Policy) -> D
     return kept.join(named, "block").join(lines, "unit").withColumns({"start_line": F.element_at("spans", F.col("start") + 1)["start"], "end_line": F.element_at("spans", F.col("start") + F.col("length"))["end"]}).drop("spans")
 
 
+#: Least specificity of a structured literal and the preview length of full specificity; least support of a repeat and the members of full support; what mixed roles and several folders leave of an action's confidence.
+SPECIFIC, PREVIEW_HIGH, SUPPORTED, MEMBERS_HIGH, MIXED_ROLES, SEVERAL_FOLDERS = 0.88, 120, 0.85, 4, 0.85, 0.82
+
+
 def constant_clusters(constants: DataFrame) -> DataFrame:
-    """Constants that repeat: identical (name and value), drifted (name, values that share half of the smallest), scattered (value, several names)."""
-    c = constants.withColumn("place", F.concat_ws(":", "file", "start_line"))
-    agg = lambda kind, *by: c.groupBy(*by).agg(F.lit(kind).alias("kind"), F.count("*").alias("members"), F.array_sort(F.collect_set("file")).alias("files"), F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set("symbol")).alias("symbols"), F.count_distinct("literal_hash").alias("variants"), F.sum(F.col("end_line") - F.col("start_line") + 1).alias("line_span"))
-    shown = ("kind", "members", "files", "places", "symbols", "variants", "line_span", "overlap")
+    """Constants that repeat: identical (name and value), drifted (name, values that share half of the smallest), scattered (value, several names).
+
+    confidence is that they belong together; action_confidence also weighs whose they are and how near they stand.
+    """
+    c = constants.withColumns({"place": F.concat_ws(":", "file", "start_line"), "folder": S.parent(F.col("file"))})
+
+    def agg(kind: str, *by: str) -> DataFrame:
+        return c.groupBy(*by).agg(
+            F.lit(kind).alias("kind"), F.count("*").alias("members"), F.array_sort(F.collect_set("file")).alias("files"), F.array_sort(F.collect_set("place")).alias("places"), F.array_sort(F.collect_set("symbol")).alias("symbols"), F.count_distinct("literal_hash").alias("variants"),
+            F.sum(F.col("end_line") - F.col("start_line") + 1).alias("line_span"), F.max(F.length("literal_preview")).alias("preview"), F.count_distinct("literal_kind").alias("kinds"), F.bool_and(F.col("role") == "source").alias("own"), F.count_distinct("folder").alias("folders"),
+        )
+
+    shown = ("kind", "members", "files", "places", "symbols", "variants", "line_span", "overlap", "preview", "kinds", "own", "folders")
     same = agg("identical", "normalized_symbol", "literal_hash").filter("members > 1").withColumn("overlap", F.lit(1.0))
     drift = agg("drifted", "normalized_symbol", "literal_kind").filter((F.col("variants") > 1) & (F.size("files") > 1))
     items = c.select("normalized_symbol", "literal_kind", "literal_hash", F.explode(F.array_distinct("literal_items")).alias("item")).distinct()
-    smallest = items.groupBy("normalized_symbol", "literal_kind", "literal_hash").agg(F.count("*").alias("k")).groupBy("normalized_symbol", "literal_kind").agg(F.min("k").alias("smallest"))
-    common = items.groupBy("normalized_symbol", "literal_kind", "item").agg(F.count("*").alias("k")).join(drift.select("normalized_symbol", "literal_kind", "variants"), ["normalized_symbol", "literal_kind"]).filter("k = variants").groupBy("normalized_symbol", "literal_kind").agg(F.count("*").alias("common"))
     by = ["normalized_symbol", "literal_kind"]
-    drift = drift.join(smallest, by).join(common, by, "left").withColumn("overlap", F.coalesce("common", F.lit(0)) / F.col("smallest")).filter("overlap >= 0.5")
+    smallest = items.groupBy(*by, "literal_hash").agg(F.count("*").alias("k")).groupBy(*by).agg(F.min("k").alias("smallest"))
+    common = items.groupBy(*by, "item").agg(F.count("*").alias("k")).join(drift.select(*by, "variants"), by).filter("k = variants").groupBy(*by).agg(F.count("*").alias("common"))
+    drift = drift.drop("kinds").withColumn("kinds", F.lit(1).cast("long")).join(smallest, by).join(common, by, "left").withColumn("overlap", F.coalesce("common", F.lit(0)) / F.col("smallest")).filter("overlap >= 0.5")
     scattered = agg("scattered", "literal_hash").filter(F.size("symbols") > 1).withColumn("overlap", F.lit(1.0))
-    return same.select(*shown).unionByName(drift.select(*shown)).unionByName(scattered.select(*shown))
+    out = same.select(*shown).unionByName(drift.select(*shown)).unionByName(scattered.select(*shown))
+    specific = F.greatest(F.lit(SPECIFIC), S.ramp_count(F.col("preview"), 1, PREVIEW_HIGH))
+    support = F.greatest(F.lit(SUPPORTED), S.ramp_count(F.col("members"), 2, MEMBERS_HIGH))
+    sure = S.round4(F.when(F.col("kinds") == 1, 1.0).otherwise(0.0) * F.col("overlap") * (1 - (1 - specific) * (1 - support)))
+    out = out.withColumn("confidence", sure)
+    action = S.round4(S.combine(F.col("confidence"), F.when(F.col("own"), 1.0).otherwise(MIXED_ROLES), F.when(F.col("folders") <= 1, 1.0).otherwise(SEVERAL_FOLDERS)))
+    return out.withColumn("action_confidence", action).drop("preview", "kinds", "own", "folders")
 
 
 NO_EVIDENCE = {

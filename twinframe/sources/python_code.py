@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from textwrap import dedent
 
 UNKNOWN = "UNKNOWN"
-TREE_DEPTH, CONSTANT_SHOWN = 150, 48
+TREE_DEPTH, CONSTANT_SHOWN, PREVIEW = 150, 48, 160
 
 BRANCHES = (ast.If, ast.IfExp, ast.match_case, ast.ExceptHandler)
 LOOPS = (ast.For, ast.AsyncFor, ast.While, ast.comprehension)
@@ -531,7 +531,7 @@ def constants_of(tree: ast.Module) -> Iterator[dict]:
             continue
         if len(leaves) < 2 or not all(map(simple, leaves)):
             continue
-        yield {"symbol": target.id, "normalized_symbol": " ".join(words(target.id)), "start_line": s.lineno, "end_line": s.end_lineno, "literal_kind": type(value).__name__, "literal_hash": hashlib.sha256(ast.dump(value).encode("utf-8", "surrogatepass")).hexdigest(), "literal_items": items}
+        yield {"symbol": target.id, "normalized_symbol": " ".join(words(target.id)), "start_line": s.lineno, "end_line": s.end_lineno, "literal_kind": type(value).__name__, "literal_preview": shown if len(shown := ast.unparse(value)) <= PREVIEW else shown[:PREVIEW] + "...", "literal_hash": hashlib.sha256(ast.dump(value).encode("utf-8", "surrogatepass")).hexdigest(), "literal_items": items}
 
 
 def extract(file: str, content: bytes, role: str) -> tuple[list[dict], list[dict], str]:

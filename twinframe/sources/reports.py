@@ -79,6 +79,15 @@ def write(analysis: Analysis, folder: str, limit: int = 50, debug: bool = False,
     return metrics
 
 
+def ci_payload(metrics: dict, folder: str, top: list[dict] | None = None) -> dict:
+    """What a continuous-integration job reads: counts, whether it fails (on recommended edits), and where the reports are."""
+    failing = metrics["tiers"].get("recommended_edit", 0)
+    return {
+        "version": __version__, "findings": metrics["tiers"], "coverage": metrics["coverage"], "ci": {"fail_on": "recommended_edit", "failing_targets": failing, "exit_code": int(failing > 0)},
+        "artifacts": [f"{folder}/{n}" for n in ("analysis.jsonl", "observations.jsonl", "metrics.json", "summary.md")], "targets": top or [],
+    }
+
+
 def read_back(spark, folder: str, target_id: str) -> DataFrame:
     """Findings of a report by id."""
     return spark.read.json([f"{folder}/analysis.jsonl", f"{folder}/observations.jsonl"]).filter(F.col("target_id") == target_id)
