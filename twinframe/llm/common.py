@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +19,9 @@ from ..operators import graph
 #: Rows that a Python worker holds as Python objects at a time.
 ROWS_AT_ONCE = 256
 
+#: Ids or spans up to this number are broadcast (16 MB or so); beyond it the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+
 #: Rows of an Arrow batch in the jobs that run here.
 BATCH_ROWS = 1000
 
@@ -25,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the system; Python workers outlive their tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (local runs)."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +50,11 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def small(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its rows are counted and few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """While jobs run inside, Python workers get texts BATCH_ROWS at a time, which bounds what workers and executors hold."""
@@ -94,6 +111,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tupl
                 rows = f(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+        del f
+        release()
 
     return df.mapInArrow(run, fields)
 

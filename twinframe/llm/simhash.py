@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, cut, release, small, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
@@ -169,6 +169,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             if found:
                 e = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+        release()
 
     return pairs.select("fps", "ids", "r_fps", "r_ids").mapInArrow(run, "a long, b long")
 
@@ -193,7 +194,15 @@ def with_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest id (of equal ids one), with all columns; rows with a null id are kept."""
-    classes = near_duplicates(df, id_col, text_col)
-    kept = classes.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.join(kept, id_col, "left_semi").dropDuplicates([id_col]).union(df.filter(F.col(id_col).isNull()))
+    """One row of each component, that with the smallest id (of equal ids one), with all columns; rows with a null id are kept.
+
+    The ids that go are few beside the texts, so these aren't shuffled unless the ids are too many to broadcast.
+    """
+    classes = stage(near_duplicates(df, id_col, text_col))
+    gone = cut(classes.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    repeated = cut(classes.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").select(id_col))
+    kept = df.join(small(gone), id_col, "left_anti")
+    if not repeated.count():
+        return kept
+    repeated = small(repeated)
+    return kept.join(repeated, id_col, "left_anti").unionByName(kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, small_batches
+from .common import ROWS_AT_ONCE, release, small_batches
 
 #: log2 of the slots of each order, from single letters on.
 BITS = (12, 16, 18, 20, 20)
@@ -130,6 +130,8 @@ def count(df: DataFrame) -> pd.DataFrame:
                 for text, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     tables.add(text, kind)
         yield tables.batch()
+        del tables
+        release()
 
     rows = df.select("text", "kind").mapInArrow(run, "n int, slot int, context int, suffix int, toxic double, ordinary double, total double")
     summed = rows.groupBy("n", "slot").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("total").alias("total"))
@@ -298,6 +300,7 @@ def score_column(model: Model, text_col: str = "text") -> Column:
             parts = [m.scores(texts.slice(a, ROWS_AT_ONCE).to_pylist()) for a in range(0, len(texts), ROWS_AT_ONCE)]
             yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
         m.memo.clear()
+        release()
 
     return score(F.col(text_col))
 
