@@ -44,13 +44,25 @@ def exact_pairs(indexed: DataFrame, body: str, first: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, items: DataFrame, least: float, exact: DataFrame | None = None) -> DataFrame:
-    """Pairs with their token sets' similarity (1 for exact ones), of at least `least`."""
+    """Pairs with their token sets' similarity (1 for exact ones), of at least `least`.
+
+    Sizes are compared first: sets of n and m tokens can't be more alike than the smaller over the larger. What is left meets
+    as arrays of 64-bit hashes, and only pairs that these let pass are measured on the tokens themselves.
+    """
     all_pairs = pairs.select("group", "a", "b", F.lit(False).alias("same"))
     if exact is not None:
         all_pairs = all_pairs.union(exact.select("group", "a", "b", F.lit(True).alias("same"))).groupBy("group", "a", "b").agg(F.bool_or("same").alias("same"))
-    left = items.select("group", F.col("id").alias("a"), F.array_distinct("tokens").alias("_x"))
-    right = items.select("group", F.col("id").alias("b"), F.array_distinct("tokens").alias("_y"))
-    scored = all_pairs.join(left, ["group", "a"]).join(right, ["group", "b"]).withColumn("similarity", F.when(F.col("same"), 1.0).otherwise(jaccard(F.col("_x"), F.col("_y"))))
+    sets = items.select("group", "id", F.array_distinct("tokens").alias("t"))
+    sized = sets.select("group", "id", F.size("t").alias("n"), F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
+    side = lambda d, name, **c: d.select("group", F.col("id").alias(name), *[F.col(v).alias(k) for k, v in c.items()])
+    near = all_pairs.join(side(sized, "a", n="n"), ["group", "a"]).join(side(sized, "b", m="n"), ["group", "b"])
+    near = near.filter(F.col("same") | (F.least("n", "m") >= F.greatest("n", "m") * least))
+    near = near.join(side(sized, "a", x="h"), ["group", "a"]).join(side(sized, "b", y="h"), ["group", "b"])
+    # computed once: a filter over the same expression would compute it again
+    near = near.select("group", "a", "b", "same", "n", "m", F.when(F.col("same"), 0).otherwise(F.size(F.array_intersect("x", "y"))).alias("shared"))
+    near = near.filter(F.col("same") | (F.col("shared") >= (F.col("n") + F.col("m") - F.col("shared")) * (least - 1e-9)))
+    whole = near.join(side(sets, "a", x="t"), ["group", "a"]).join(side(sets, "b", y="t"), ["group", "b"])
+    scored = whole.withColumn("similarity", F.when(F.col("same"), 1.0).otherwise(jaccard(F.col("x"), F.col("y"))))
     return scored.filter(F.col("similarity") >= least).select("group", "a", "b", "similarity")
 
 
