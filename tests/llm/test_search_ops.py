@@ -168,6 +168,23 @@ def test_passages_of_many_copies_give_a_pair_each(spark):
     assert all(58 <= x.end - x.start <= 64 for x in got)
 
 
+def test_one_edited_word_keeps_a_passage():
+    for n in (50, 51, 55, 60, 65, 70, 80):
+        words = [f"w{k}" for k in range(n)]
+        for at in range(n):
+            edited = [*words[:at], "edited", *words[at + 1 :]]
+            a, b = ({tuple(w[k : k + 5]) for k in range(n - 4)} for w in (words, edited))
+            pair = [substring.Known(" ".join([*(f"{side}l{k}" for k in range(30)), *w, *(f"{side}r{k}" for k in range(30))])) for side, w in (("x", edited), ("y", words))]
+            got = substring.verified(*pair)
+            if len(a & b) / len(a | b) >= 0.8:  # the passages themselves are alike enough
+                assert len(got) == 1 and all(q - p >= 50 for p, q in (got[0][:2], got[0][2:4])) and got[0][4] >= 0.8, (n, at, got)
+                i, j, x, y, sim = got[0]
+                own, them = (set(k.h[p : q - 4].tolist()) for k, p, q in ((pair[0], i, j), (pair[1], x, y)))
+                assert abs(len(own & them) / len(own | them) - sim) < 1e-12
+    once = substring.Known(" ".join(f"w{k}" for k in range(40)))
+    assert substring.verified(once, substring.Known(" ".join(f"w{k}" for k in range(60)))) == []
+
+
 def test_without():
     s = [{"start": 1, "end": 3}, {"start": 2, "end": 4}]
     assert substring.without(" a b  c\nd e ", s) == " a e "
