@@ -185,6 +185,22 @@ def test_one_edited_word_keeps_a_passage():
     assert substring.verified(once, substring.Known(" ".join(f"w{k}" for k in range(60)))) == []
 
 
+def test_near_passages_equal_brute_force(spark):
+    r, rows = random.Random(8), []
+    for k in range(300):  # an edited word at a place that leaves similarity 0.8 to 0.85
+        n = r.randint(50, 60)
+        words = [f"d{k}w{i}" for i in range(n)]
+        edited = list(words)
+        edited[r.randint(10, n - 10)] = "edited"
+        sets = [{tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, edited)]
+        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    assert len(rows) > 400
+    got = {(x.doc_id, x.source_doc_id) for x in substring.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i + 1, i) for i, _ in rows[::2]}
+    assert got <= want and len(got) >= 0.98 * len(want)
+
+
 def test_without():
     s = [{"start": 1, "end": 3}, {"start": 2, "end": 4}]
     assert substring.without(" a b  c\nd e ", s) == " a e "
