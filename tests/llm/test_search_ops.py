@@ -242,6 +242,16 @@ def test_toxicity_never_learns_held_out_labels(spark):
     assert score(labels) == score(turned)
 
 
+def test_toxicity_counts_labels_that_the_curve_leaves(spark, monkeypatch):
+    docs, labels, truth = toxic_corpus(spark, 600)
+    learnable = [r.doc_id for r in labels.filter(~toxicity.held_out()).select("doc_id").distinct().collect() if r.doc_id in truth]
+    kinds, count = [], toxicity.count
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 10)
+    monkeypatch.setattr(toxicity, "count", lambda df: kinds.extend(r.kind for r in df.select("kind").collect()) or count(df))
+    toxicity.fit(docs, labels)
+    assert sum(k != toxicity.OTHER for k in kinds) >= len(learnable) - 10
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_corpus(spark, 20)
     assert {(r.score, r.predicted) for r in toxicity.classify(docs, labels.limit(0)).collect()} == {(0.0, 0)}

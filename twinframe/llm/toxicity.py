@@ -273,7 +273,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts all documents and fits the curve; labels are used of rows that aren't held out, one in eight of which only for the curve.
+    """Counts all documents and fits the curve; labels are used of rows that aren't held out, of which up to CALIBRATION_ROWS (one in eight, least hashes first) only for the curve.
 
     A document with several labels is toxic if one of them is 1; null labels, ids and texts count as absent.
     """
@@ -282,9 +282,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         marks = F.broadcast(marks)
     joined = docs.select(id_col, F.col(text_col).alias("text")).join(marks, id_col, "left")
     curve = F.coalesce(F.floor(fold(id_col) / 4) % 8 == 3, F.lit(False))
+    h = F.xxhash64(id_col)
+    sample = joined.filter(F.col("toxic").isNotNull() & curve).select("text", "toxic", h.alias("h")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
+    if len(sample) == CALIBRATION_ROWS:  # rows beyond the sample are learnt from
+        curve = curve & (h <= max(sample["h"].to_pylist()))
     kind = F.when(F.col("toxic").isNull() | curve, OTHER).otherwise(F.col("toxic")).cast("int")
     model = Model(count(joined.select("text", kind.alias("kind"))))
-    sample = joined.filter(F.col("toxic").isNotNull() & curve).select("text", "toxic", F.xxhash64(id_col).alias("h")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
     model.calibrate(sample["text"].to_pylist(), sample["toxic"].to_pylist())
     return model
 
