@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinframe.operators import blocks, buckets, content, graph, groups
@@ -31,6 +32,13 @@ def test_bounded_components(spark):
     assert sizes == {0: {0, 1, 2, 3}, 4: {4, 5, 6, 7}, 8: {8, 9, 10}, 50: {50, 51}}
 
 
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.components(chain, rounds=1)
+    assert {r.root for r in graph.components(chain).collect()} == {0}
+
+
 def test_bucket_limits(spark):
     keys = spark.createDataFrame([("c", "k", i, i) for i in range(50)] + [("c", "k", 0, 0)], "cluster string, key string, member long, place long")
     assert buckets.bucket_pairs(keys, 32).count() == 32 * 31 // 2 and buckets.bucket_cuts(keys, 32).first().cut == 18

@@ -31,7 +31,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) for every linked node of edges (a, b) of any ordered type; root is its smallest reachable node.
 
     Alternating large-star and small-star steps until nothing changes: grouped minima, which are summed up before they are dealt
-    out, and salted equi-joins. The number of rounds grows with the logarithm of the longest chain; each is checkpointed. Null
+    out, and salted equi-joins; an error if that takes more than so many rounds. The number of rounds grows with the logarithm of the longest chain; each is checkpointed. Null
     ends and self-links are ignored.
     """
     e = reliable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
@@ -46,6 +46,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
