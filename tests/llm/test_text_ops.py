@@ -136,6 +136,11 @@ def test_packing_batches(spark):
     assert packing.pack(docs(spark, []), n_buckets=4).count() == 0
 
 
+def test_packing_pads_a_lone_long_document_by_nothing(spark):
+    rows = packing.pack(docs(spark, [(1, "w " * 20_001), (2, "w " * 30_001), (3, "w " * 30_010), (4, "a b")]), n_buckets=3).collect()
+    assert {r.doc_id: (r.bucket_tokens, r.padding) for r in rows} == {1: (20_001, 0), 2: (30_010, 9), 3: (30_010, 0), 4: (2, 0)}
+
+
 def test_packing_rounds_long_lengths_up(spark):
     got = {r.n: r.m for r in spark.range(1, 300_000, 997).select(F.col("id").alias("n"), packing.rounded(F.col("id")).alias("m")).collect()}
     assert all(m == n if n <= packing.EXACT else n <= m <= n * (1 + 1 / 64) for n, m in got.items())
