@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_digest
+from .graph import reliable
 
 
 def lead_rows(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -51,11 +52,14 @@ def without_subsumed(df: DataFrame, key: str, members: str, same: list[str], ran
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rows numbered in a total order. Rows are range-partitioned and sorted; only the partitions' sizes are summed up, so no task holds all rows."""
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Rows numbered in a total order: range-partitioned, sorted and numbered inside each partition, on top of the rows that earlier partitions hold.
+
+    The partitioned rows are cut from their lineage once, with the number of their partition: a range partitioning that is planned
+    twice samples its bounds twice. Only the partitions' sizes are summed up, so no task holds all rows.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     parted = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    numbered = parted.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = reliable(parted.withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     return numbered.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_in") + 1).cast("long")).drop("_part", "_in", "_before")
