@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,23 +96,49 @@ def test_simhash_equals_brute_force(spark, monkeypatch):
 
 def test_compact_windows_cover_all_subsequences_once():
     r = np.random.default_rng(5)
-    for _ in range(20):
-        g = r.permutation(40).astype(np.uint64)
+    for k in range(40):
+        g = r.permutation(40).astype(np.uint64) if k % 2 else r.integers(0, 1 + k // 4, 40).astype(np.uint64)
         seen = {}
-        for lo, c, hi in substring.compact_windows(g, 6):
+        for lo, c, hi in substring.compact_windows(g, 6).tolist():
             for i in range(lo, c + 1):
                 for j in range(c, hi + 1):
                     if j - i + 1 >= 6:
                         assert (i, j) not in seen and g[i : j + 1].argmin() + i == c
                         seen[i, j] = c
         assert len(seen) == sum(1 for i in range(40) for j in range(i + 5, 40))
-    assert substring.compact_windows(np.array([5] * 30 + [9] * 30, np.uint64), 6) == [(0, 0, 59), (30, 30, 59)]
-
-
-def test_segments():
-    hit = np.array([c == "x" for c in "xx..xxxxxx.xxxxxx....x"])
-    assert substring.segments(hit, 4) == [(0, 2), (4, 17), (21, 22)] and substring.segments(hit, 8) == [(0, 2), (4, 10), (11, 17), (21, 22)]
-    assert substring.segments(np.zeros(3, bool), 2) == substring.segments(np.zeros(0, bool), 2) == []
+    assert len(substring.compact_windows(np.zeros(5, np.uint64), 6)) == 0
+    began = time.time()
+    substring.keys(substring.tokens("spam " * 1_000_000), 21, 0)
+    assert time.time() - began < 10  # linear in runs of one token
+
+
+def test_equal_stretches_share_a_signature():
+    r = np.random.default_rng(6)
+    n = substring.run()
+    assert (n, substring.shared_tokens()) == (21, 41)
+    for _ in range(300):
+        common = r.integers(0, r.choice([3, 2**60]), n).astype(np.uint64)
+        sides = [np.concatenate([r.integers(0, 2**60, r.integers(0, 60)).astype(np.uint64), common, r.integers(0, 2**60, r.integers(0, 60)).astype(np.uint64)]) for _ in range(2)]
+        a, b = (set(substring.keys(x, n, 0)[0].tolist()) for x in sides)
+        assert a & b
+
+
+def test_alike_passages_share_a_stretch():
+    """The longest stretch that two passages of 50 words or more at 0.8 have in common is never shorter than run()."""
+    r = random.Random(12)
+    seen = 0
+    for _ in range(4000):
+        a = [f"w{k}" for k in range(r.randint(50, 160))]
+        b = list(a)
+        for _ in range(r.randint(1, 4)):
+            at = r.randrange(len(b))
+            r.choice([lambda: b.__setitem__(at, "x"), lambda: b.insert(at, "y"), lambda: b.pop(at), lambda: b.insert(r.randrange(len(b)), b.pop(at))])()
+        x, y = ([tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (a, b))
+        if len(b) >= 50 and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+            seen += 1
+            n = substring.run()
+            assert {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} & {tuple(y[k : k + n]) for k in range(len(y) - n + 1)}
+    assert seen > 1000
 
 
 def test_passages_in_repetitive_texts(spark):
@@ -185,20 +212,50 @@ def test_one_edited_word_keeps_a_passage():
     assert substring.verified(once, substring.Known(" ".join(f"w{k}" for k in range(60)))) == []
 
 
-def test_near_passages_equal_brute_force(spark):
-    r, rows = random.Random(8), []
-    for k in range(300):  # an edited word at a place that leaves similarity 0.8 to 0.85
-        n = r.randint(50, 60)
+def near_corpus(n, seed):
+    """Pairs of documents with a passage of n words, edited in one to three places in the second; those at 0.8 or more."""
+    r, rows, want = random.Random(seed), [], set()
+    for k in range(120):
         words = [f"d{k}w{i}" for i in range(n)]
         edited = list(words)
-        edited[r.randint(10, n - 10)] = "edited"
+        for _ in range(r.randint(1, max(1, n // 40))):
+            edited[r.randrange(n)] = f"e{r.random()}"
         sets = [{tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, edited)]
-        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85:
-            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
-    assert len(rows) > 400
+        if len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8:
+            around = lambda: [f"o{r.random()}" for _ in range(r.randint(0, 60))]
+            rows += [(2 * k, " ".join([*around(), *words, *around()])), (2 * k + 1, " ".join([*around(), *edited, *around()]))]
+            want.add((2 * k + 1, 2 * k))
+    return rows, want
+
+
+@pytest.mark.parametrize("n", [50, 55, 60, 80])
+def test_near_passages_equal_brute_force(spark, n):
+    rows, want = near_corpus(n, n)
+    assert len(want) > 30
     got = {(x.doc_id, x.source_doc_id) for x in substring.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = {(i + 1, i) for i, _ in rows[::2]}
-    assert got <= want and len(got) >= 0.98 * len(want)
+    assert got == want
+
+
+def test_exact_passages_behind_a_looser_variant(spark):
+    """Documents 2 and 3 share a passage word by word; document 1 has it with every 14th word changed, and hundreds hold its stock phrase."""
+    rows = []
+    for k in range(40):
+        words = [f"p{k}w{i}" for i in range(60)]
+        loose = [f"z{k}v{i}" if i % 14 == 7 else w for i, w in enumerate(words)]
+        for j, w in enumerate((loose, words, words)):
+            rows.append((1000 * (j + 1) + k, " ".join([f"a{k}x{j}y{i}" for i in range(30)] + w + [f"b{k}x{j}y{i}" for i in range(30)])))
+    stock = [f"s{i}" for i in range(35)]
+    rows += [(10_000 + k, " ".join([f"c{k}y{i}" for i in range(40)] + stock + [f"d{k // 2}y{i}" if k < 20 else f"d{k}y{i}" for i in range(40)])) for k in range(150)]
+    got = {(x.doc_id, x.source_doc_id) for x in substring.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3000 + k, 2000 + k) for k in range(40)} | {(10_001 + 2 * k, 10_000 + 2 * k) for k in range(10)}
+
+
+def test_texts_that_share_an_id(spark):
+    p, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(70))
+    rows = [(1, p, 9), (1, own, 9), (1, own + " " + p, 9), (2, own, 9), (2, "short", 9), (2, "short", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    kept = sorted((r.doc_id, r.text) for r in substring.drop_repeats(d).collect())
+    assert sum(p in t for _, t in kept) == 1 and sum(own in t for _, t in kept) == 1 and kept[-2:] == [(2, "short")] * 2
 
 
 def test_without():
