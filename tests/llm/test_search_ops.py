@@ -195,6 +195,20 @@ def test_passages_of_many_copies_give_a_pair_each(spark):
     assert all(58 <= x.end - x.start <= 64 for x in got)
 
 
+def test_equal_runs_are_equal_and_cover_all_hits():
+    r = np.random.default_rng(13)
+    for k in range(200):
+        words = np.sort(r.integers(0, 2**62, r.choice([3, 8, 200]))).astype(np.uint64)
+        h, o = (words[r.integers(0, len(words), r.integers(1, 120))] for _ in range(2))
+        if k % 2:
+            o = np.concatenate([o, h[len(h) // 3 :], o[:5]])
+        covered = np.zeros(len(h), bool)
+        for i, j, n in substring.equal_runs(h, o):
+            assert n > 0 and (h[i : i + n] == o[j : j + n]).all()
+            covered[i : i + n] = True
+        assert (covered == np.isin(h, o)).all()
+
+
 def test_one_edited_word_keeps_a_passage():
     for n in (50, 51, 55, 60, 65, 70, 80):
         words = [f"w{k}" for k in range(n)]
