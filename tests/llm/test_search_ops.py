@@ -195,6 +195,32 @@ def test_passages_of_many_copies_give_a_pair_each(spark):
     assert all(58 <= x.end - x.start <= 64 for x in got)
 
 
+def test_moved_sentences_keep_a_passage():
+    r = random.Random(14)
+    for _ in range(60):
+        words = [f"w{k}" for k in range(r.randint(60, 90))]
+        at = r.randint(20, len(words) - 20)
+        turned = words[at:] + words[:at]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, turned))
+        assert len(a & b) / len(a | b) >= 0.8
+        pair = [substring.Known(" ".join([*(f"{side}l{k}" for k in range(30)), *w, *(f"{side}r{k}" for k in range(30))])) for side, w in (("x", turned), ("y", words))]
+        got = substring.verified(*pair)
+        assert got and all(min(q - p, y - x) >= 50 and sim >= 0.8 for p, q, x, y, sim in got)
+
+
+def test_verification_stays_fast():
+    """Long near copies with many edits, and texts of a few lines in changing order."""
+    r = random.Random(15)
+    words = [f"w{r.randrange(4000)}" for _ in range(20_000)]
+    lines = [" ".join(f"l{k}x{i}" for i in range(r.randint(4, 20))) for k in range(12)]
+    shuffled = lambda: "\n".join(r.choice(lines) for _ in range(1500))
+    for a, b in ((" ".join(words), " ".join(f"e{k}" if r.random() < 0.02 else w for k, w in enumerate(words))), (" ".join(words), " ".join(f"e{k}" if r.random() < 0.1 else w for k, w in enumerate(words))), (shuffled(), shuffled())):
+        began = time.time()
+        for p, q, x, y, sim in substring.verified(substring.Known(a), substring.Known(b)):
+            assert sim >= 0.8 and min(q - p, y - x) >= 50
+        assert time.time() - began < 5
+
+
 def test_equal_runs_are_equal_and_cover_all_hits():
     r = np.random.default_rng(13)
     for k in range(200):
