@@ -6,7 +6,10 @@ of their quarters add up to at most r; tile pairs whose ranges of counts lie fur
 exactly with numpy exclusive-or and bit counts. A tile pair yields the links of a spanning forest of what it finds, not all
 pairs, so that large groups of near copies stay linear; copies with equal fingerprints are grouped before.
 
-Tiles meet by an equi-join on the population count, salted, since middle counts are frequent.
+Only descriptions of tiles meet at first: neighbouring tiles make blocks, blocks meet by an equi-join on the population count, and
+those whose ranges lie too far apart go. A tile's fingerprints are then sent once to each pair of blocks that is left, so what
+is copied is the fingerprints times the blocks that a block meets: with b blocks at most 16 bytes x fingerprints x b. Blocks grow with
+the corpus, to MOST_TILES tiles; beyond that copies grow with the square of the input, as the comparison itself does.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.groups import ranked
 from .common import components, cut, release, small, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
-#: Fingerprints of a tile, least salts of a population count, and tile pairs for each task of the comparison (about 5 ms each, most skipped).
-TILE, SALTS, TILE_PAIRS = 1024, 8, 1000
+#: Fingerprints of a tile, blocks that are aimed at, tiles of a block at most (16 KB each), and pairs of blocks for each task.
+TILE, BLOCKS, MOST_TILES, TASK_PAIRS = 1024, 128, 128, 4
 
-#: Partitions of the join at most.
+#: Partitions of the comparison at most.
 MOST_PARTS = 20_000
 
 
@@ -140,38 +144,61 @@ def compare(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.n
     return np.concatenate(a), np.concatenate(b)
 
 
+def block_pairs(described: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a <= b, of blocks whose ranges of counts lie within the radius, from rows (block, pop, lo, hi) of tiles."""
+    q = [f(F.col(c)[k]).alias(f"{c}{k}") for k in range(4) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    blocks = described.groupBy("block").agg(F.min("pop").alias("least"), F.max("pop").alias("most"), *q)
+    left = blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in blocks.columns[1:]), F.explode(F.sequence("least", "most")).alias("pop"))
+    right = blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in blocks.columns[1:]), F.explode(F.sequence(F.col("least") - radius, F.col("most") + radius)).alias("pop"))
+    gap = sum((F.greatest(F.lit(0), F.col(f"b_lo{k}") - F.col(f"a_hi{k}"), F.col(f"a_lo{k}") - F.col(f"b_hi{k}")) for k in range(4)), F.lit(0))
+    return left.join(right, "pop").filter("a <= b").filter(gap <= radius).select("a", "b").distinct()
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the ids of distinct fingerprints (fp, id) that suffice to reach every one within the radius of another."""
     t = stage(tiles(fps))
-    # the work grows with the square of the tiles: so do the join's partitions, and the salts that fill them
     n = t.count()
-    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, n * n // TILE_PAIRS))
-    salts = max(SALTS, parts // 8)
-    left = t.select("pop", "first", "lo", "hi", "fps", "ids", F.pmod(F.xxhash64("first"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(radius))).alias("d"))
-    left = left.withColumn("key", F.col("pop") + F.col("d"))
-    right = t.select(F.col("pop").alias("key"), *(F.col(c).alias(f"r_{c}") for c in ("first", "lo", "hi", "fps", "ids")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    gap = sum((F.greatest(F.lit(0), F.col("r_lo")[k] - F.col("hi")[k], F.col("lo")[k] - F.col("r_hi")[k]) for k in range(4)), F.lit(0))
-    left, right = (x.repartition(parts, "key", "salt") for x in (left, right))
-    pairs = left.join(right, ["key", "salt"]).filter(gap <= radius).filter((F.col("d") > 0) | (F.col("first") <= F.col("r_first")))
+    size = max(1, min(MOST_TILES, -(-n // BLOCKS)))
+    place = ranked(t.select("first", "pop", "lo", "hi"), [F.col("pop"), F.col("lo")[0] + F.col("lo")[1], F.col("lo")[0], F.col("lo")[2], F.col("first")], "place")
+    described = stage(place.withColumn("block", F.floor((F.col("place") - 1) / size).cast("long")).drop("place"))
+    pairs = stage(block_pairs(described, radius))
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, pairs.count() // TASK_PAIRS))
+    sent = sides.join(described.select("block", "first"), "block").join(t, "first").select("a", "b", "block", "pop", "lo", "hi", "fps", "ids")
+    sent = sent.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "block")
+
+    def met(a: int, b: int, held: list[tuple]) -> np.ndarray | None:
+        """Links inside a pair of blocks; held: their tiles."""
+        found = []
+        for x, (block, pop, lo, hi, xs, xi) in enumerate(held):
+            for y in range(x, len(held)):
+                other, pop2, lo2, hi2, ys, yi = held[y]
+                if a != b and other == block or abs(pop - pop2) > radius or np.maximum(0, np.maximum(lo2 - hi, lo - hi2)).sum() > radius:
+                    continue  # tiles of one block meet in that block's pair with itself
+                i, j = compare(xs, ys, radius)
+                ids, places = np.unique(np.concatenate([xi, yi]), return_inverse=True)
+                i, j = places[i], places[len(xi) + j]
+                if (keep := i != j).any():
+                    found.append(ids[forest(i[keep], j[keep], len(ids))])
+        return np.concatenate(found) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for fa, ia, fb, ib in zip(*(c for c in batch.columns), strict=True):
-                x, xi, y, yi = (np.frombuffer(v.as_buffer(), np.int64) for v in (fa, ia, fb, ib))
-                a, b = compare(x, y, radius)
-                ids = np.concatenate([xi, yi])
-                ids, place = np.unique(ids, return_inverse=True)
-                a, b = place[a], place[len(xi) + b]
-                keep = a != b
-                if keep.any():
-                    found.append(ids[forest(a[keep], b[keep], len(ids))])
-            if found:
-                e = np.concatenate(found)
+        pair, held = None, []
+
+        def done():
+            if pair is not None and (e := met(*pair, held)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            for a, b, block, pop, lo, hi, f, ids in zip(*(c for c in batch.columns), strict=True):
+                if (now := (a.as_py(), b.as_py())) != pair:
+                    yield from done()
+                    pair, held = now, []
+                held.append((block.as_py(), pop.as_py(), np.array(lo.as_py()), np.array(hi.as_py()), *(np.frombuffer(v.as_py(), np.int64) for v in (f, ids))))
+        yield from done()
         release()
 
-    return pairs.select("fps", "ids", "r_fps", "r_ids").mapInArrow(run, "a long, b long")
+    return sent.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
