@@ -25,10 +25,11 @@ INPUT = PATH_BITS + WORD_BITS + MEASURES
 #: Cells (pages x blocks of the longest) that a batch holds at most, unless one page alone has more.
 CELLS = 16_384
 
-#: Elements whose content is no text; elements without content; inline elements (all others bound a block).
-RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "xmp"}
+#: Elements whose content is no text of the page; elements without content; inline elements (all others bound a block).
+RAW = {"script", "style", "template", "title", "textarea", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter nobr output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label map mark meter nobr object output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics svg g text tspan".split())
 
 #: What an opening tag closes implicitly, and the elements that stop the search.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
@@ -42,6 +43,12 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*+>",
     re.S,
 )
+#: The same for pages whose quotes don't close: a tag ends at its first bracket. Empty groups keep the others' numbers.
+PLAIN = re.compile(r"<!--.*?(?:--!?>|\Z)|()()()(?!)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+
+#: Tags whose quotes run to the page's end, each of which is read that far, before PLAIN takes over.
+UNCLOSED = 16
+
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECES = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
@@ -95,8 +102,11 @@ class Page:
                 self.links += len(s)
 
     def parse(self, source: str) -> None:
-        at = 0
-        while m := TOKEN.search(source, at):
+        at, last, token, unclosed = 0, source.rfind(">"), TOKEN, 0
+        while at <= last and (m := token.search(source, at)):  # without a bracket ahead no tag ends
+            unclosed += m[5] is not None
+            if unclosed == UNCLOSED:
+                token = PLAIN
             self.text(source[at : m.start()])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
@@ -128,7 +138,7 @@ class Page:
             if name in CLOSES:
                 self.pop(CLOSES[name], SCOPE)
             self.stack.append((name, element(name, attributes)))
-        self.text(source[at:])
+        self.text(source[at:].partition("<!--")[0])
         self.flush()
 
 
