@@ -74,67 +74,79 @@ def write(payload: bytes) -> bytes:
     return head + moov(first) + data
 
 
-def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, body start, body end) of every box, depth first; a box that runs beyond its parent ends with it."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, start)
-        body = start + 8
-        if size == 1 and body + 8 <= end:
-            (size,) = struct.unpack_from(">Q", data, body)
-            body += 8
-        stop = end if size == 0 else min(end, start + size)
-        if stop < body:
-            return
-        yield (*path, kind), body, stop
-        if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+def walk(data, start: int = 0, end: int | None = None):
+    """(path, body start, body end) of every box, depth first; a box that runs beyond its parent ends with it. Open boxes are held in a list, so depth is not bounded by the interpreter's stack."""
+    todo = [(start, len(data) if end is None else end, ())]
+    while todo:
+        start, end, path = todo.pop()
+        while start + 8 <= end:
+            size, kind = struct.unpack_from(">I4s", data, start)
+            body = start + 8
+            if size == 1 and body + 8 <= end:
+                (size,) = struct.unpack_from(">Q", data, body)
+                body += 8
+            stop = end if size == 0 else min(end, start + size)
+            if stop < body:
+                break
+            yield (*path[-6:], kind), body, stop  # tables lie seven boxes deep at most
+            start = stop
+            if kind in CONTAINERS:
+                todo.append((stop, end, path))
+                start, end, path = body, stop, (*path[-6:], kind)
 
 
 def table(data, at: int, end: int, fields: int, form: str = ">u4") -> np.ndarray:
     """Entries of a counted table of so many numbers each, as an array with a row for each entry."""
-    (n,) = struct.unpack_from(">I", data, at + 4)
+    (n,) = struct.unpack_from(">I", data[at:end], 4)
     width = np.dtype(form).itemsize * fields
     n = min(n, max(0, (end - at - 8) // width))
     return np.frombuffer(data, form, n * fields, at + 8).astype(np.int64).reshape(n, fields)
 
 
+def read_box(t: dict, kind: bytes, data: bytes, at: int, end: int) -> None:
+    """Adds what a box of a track says. No table has more entries than its box has room for, and no more samples than the file has bytes."""
+    if kind == b"mdhd":
+        wide = data[at:end][:1] == b"\1"
+        t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", data[at:end], 20 if wide else 12)
+    elif kind == b"hdlr":
+        t["handler"] = data[at + 8 : min(end, at + 12)].decode("latin-1")
+    elif kind == b"stsd":
+        t["codec"] = data[at + 12 : min(end, at + 16)].decode("latin-1")
+    elif kind == b"stts":
+        t["times"] = table(data, at, end, 2)
+    elif kind == b"stsc":
+        t["runs"] = table(data, at, end, 3)
+    elif kind == b"stsz":
+        same, n = struct.unpack_from(">II", data[at:end], 4)
+        t["sizes"] = np.full(min(n, len(data) // same), same, np.int64) if same else table(data, at + 4, end, 1)[:, 0]
+    elif kind == b"stss":
+        t["sync"] = table(data, at, end, 1)[:, 0]
+    elif kind in (b"stco", b"co64"):
+        t["chunks"] = table(data, at, end, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
+
+
 def read(data: bytes | None) -> list[dict]:
     """The tracks of a container: codec, handler, timescale, duration, and arrays of samples' offsets, sizes, times and sync flags.
 
-    Null, empty or cut containers, and bytes of another kind, give the tracks whose tables are whole (none, if there is none).
+    Null, empty or cut containers, and bytes of another kind, give the tracks whose boxes can be read (none, if there is none).
     """
     data = data or b""
     tracks: list[dict] = []
-    t: dict = {}
-    try:
-        for path, at, end in walk(data):
-            kind = path[-1]
-            if kind == b"trak":
-                tracks.append(t := {"codec": "", "handler": "", "timescale": 0, "duration": 0})
-            elif b"trak" not in path:
-                continue
-            elif kind == b"mdhd":
-                t["timescale"], t["duration"] = struct.unpack_from(">IQ" if data[at] == 1 else ">II", data, at + (20 if data[at] == 1 else 12))
-            elif kind == b"hdlr":
-                t["handler"] = data[at + 8 : at + 12].decode("latin-1")
-            elif kind == b"stsd":
-                t["codec"] = data[at + 12 : at + 16].decode("latin-1")
-            elif kind == b"stts":
-                t["times"] = table(data, at, end, 2)
-            elif kind == b"stsc":
-                t["runs"] = table(data, at, end, 3)
-            elif kind == b"stsz":
-                same, n = struct.unpack_from(">II", data, at + 4)
-                t["sizes"] = np.full(n, same, np.int64) if same else table(data, at + 4, end, 1)[:, 0]
-            elif kind == b"stss":
-                t["sync"] = table(data, at, end, 1)[:, 0]
-            elif kind in (b"stco", b"co64"):
-                t["chunks"] = table(data, at, end, 1, ">u4" if kind == b"stco" else ">u8")[:, 0]
-    except struct.error:
-        pass
-    return [samples(t) for t in tracks if {"times", "runs", "sizes", "chunks"} <= t.keys()]
+    for path, at, end in walk(data):
+        if path[-1] == b"trak":
+            tracks.append({"codec": "", "handler": "", "timescale": 0, "duration": 0})
+        elif b"trak" in path and tracks:
+            try:
+                read_box(tracks[-1], path[-1], data, at, end)
+            except struct.error:  # a box without its fields
+                tracks[-1]["broken"] = True
+    return [samples(t) for t in tracks if "broken" not in t and {"times", "runs", "sizes", "chunks"} <= t.keys()]
+
+
+def repeated(values: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+    """The first `most` of values repeated so many times; counts of foreign files may be of any size."""
+    upto = np.minimum(most, np.cumsum(np.clip(counts, 0, most), dtype=np.float64)).astype(np.int64)
+    return np.repeat(values, np.diff(upto, prepend=0))
 
 
 def samples(t: dict) -> dict:
@@ -142,12 +154,12 @@ def samples(t: dict) -> dict:
     chunks, runs, sizes = t["chunks"], t["runs"], t["sizes"]
     n = len(sizes)
     upto = np.append(runs[1:, 0], len(chunks) + 1)
-    each = np.repeat(runs[:, 1], np.maximum(0, upto - runs[:, 0]))[: len(chunks)]
-    owner = np.repeat(np.arange(len(each)), each)[:n]
+    each = repeated(runs[:, 1], upto - runs[:, 0], len(chunks))
+    owner = repeated(np.arange(len(each)), each, n)
     before = np.cumsum(sizes) - sizes
-    opens = (np.cumsum(each) - each)[owner]
+    opens = np.searchsorted(owner, owner)  # the chunk's first sample
     offsets = chunks[owner] + before[: len(owner)] - before[opens]
-    delta = np.repeat(t["times"][:, 1], t["times"][:, 0])[:n]
+    delta = repeated(t["times"][:, 1], t["times"][:, 0], n)
     sync = np.zeros(n, bool)
     if "sync" in t:
         sync[t["sync"][(t["sync"] >= 1) & (t["sync"] <= n)] - 1] = True
