@@ -71,6 +71,7 @@ def test_components(spark):
 
 def test_simhash_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "BLOCKS", 6)  # blocks of several tiles
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(1, 5)))
     texts = [" ".join(word() for _ in range(r.choice([0, 1, 3, 4, 5, 60, 200]))) for _ in range(250)]
@@ -422,6 +423,22 @@ def test_html_extraction(spark):
     assert html_extract.extract(d.limit(0)).count() == 0
 
 
+def test_html_keeps_text_of_formulas_and_fallbacks():
+    page = PAGE.replace("Second   one", "Second <math><mi>x</mi><mo>=</mo><mn>2</mn></math> one").replace("<p>Third", "<noscript><p>Shown without scripts, as it says.</p></noscript><p>Third")
+    text = html_extract.main_texts([page])[0]
+    assert "Second x=2 one goes on." in text and "Shown without scripts, as it says." in text
+    p = html_extract.Page("<p>a</p><textarea>form</textarea><svg><text>drawn</text></svg><iframe>frame</iframe><template>t</template><p>b <!-- open")
+    assert p.texts == ["a", "drawn", "b"]
+
+
+@pytest.mark.parametrize("unit", ['<a href="', "<a ", '<a ">"', "<!-", "<a b='", '<p title="x>', "<", "</", "<![", "<svg>"])
+def test_html_is_linear(unit):
+    for tail in ("", ">", '">', "'>text"):
+        began = time.time()
+        html_extract.Page(unit * (300_000 // len(unit)) + tail)
+        assert time.time() - began < 5, (unit, tail)
+
+
 def test_html_labels_on_held_out_layouts():
     data = html_train.examples(150, 99)
     found = html_extract.label([x for x, _ in data], html_extract.weights())
