@@ -356,15 +356,27 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
-def test_kneser_ney_against_plain_counting():
-    """Hashed, vectorised probabilities against a dictionary version on a corpus small enough that no slots collide."""
-    toxic, ordinary, other = ["bada bada bad", "badu"], ["gado ga bado", "gad gadu ado"], ["lala badga"]
-    t = toxicity.Tables()
-    for kind, texts in ((1, toxic), (0, ordinary), (2, other)):
-        for x in texts:
-            t.add(x, kind)
-    rows = t.batch().to_pandas()
-    model = toxicity.Model(rows)
+def test_toxicity_with_few_numbers_broadcast(spark, monkeypatch):
+    docs, labels, _ = toxic_corpus(spark, 120)
+    score = lambda: sorted((r.doc_id or -1, round(r.score, 5)) for r in toxicity.classify(docs, labels).collect())
+    want = score()
+    monkeypatch.setattr(toxicity, "GAINS", 50)
+    assert score() == want
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels, _ = toxic_corpus(spark, 200)
+    score = lambda d: sorted((r.doc_id or -1, r.score) for r in toxicity.classify(d, labels).collect())
+    assert score(docs.coalesce(1)) == score(docs.repartition(7, "text"))
+
+
+def test_kneser_ney_against_plain_counting(spark):
+    """Vectorised, joined probabilities against a dictionary version."""
+    toxic, ordinary, other = ["bada bada bad", "badu"], ["gado ga bado", "gad gadu ado"], ["lala badga", "zz"]
+    texts = [(x, kind) for kind, xs in ((1, toxic), (0, ordinary), (2, other)) for x in xs]
+    counts = toxicity.count(spark.createDataFrame(texts, "text string, kind int").repartition(3))
+    rows = counts.toPandas()
+    model = toxicity.Fitted(toxicity.gains(counts)).model.value
     n_max, grams = toxicity.ORDERS, {}
     for kind, texts in ((1, toxic), (0, ordinary), (2, other)):
         for x in texts:
@@ -376,12 +388,12 @@ def test_kneser_ney_against_plain_counting():
                         g[2] += 1
                         if kind != 2:
                             g[1 - kind] += 1
-    assert sum(len(g) == 5 for g in grams) == (rows.n == 4).sum()
+    assert sum(len(g) == 5 for g in grams) == (rows.n == 5).sum() and len(rows) == len(grams)
     left = {}
     for g in grams:
         left.setdefault(g[1:], set()).add(g[0])
     cont = {g: len(left.get(g, ())) for g in grams}
-    d_of = lambda v: toxicity.discount(np.array(v))
+    d_of = lambda v: toxicity.discount(sum(x == 1 for x in v), sum(x == 2 for x in v))
 
     def shared(g):
         if not g:
@@ -397,7 +409,7 @@ def test_kneser_ney_against_plain_counting():
         d, total = d_of([v[k] for x, v in grams.items() if len(x) == len(g)]), sum(same.values())
         return (max(same.get(g, 0) - d, 0) + d * sum(v > 0 for v in same.values()) * shared(g[1:])) / total if total else shared(g[1:])
 
-    for w in ("bada", "gado", "zz", "b", "lalabad"):
+    for w in ("bada", "gado", "zz", "badga", "lala"):
         s = f"\x02{w}\x03"
         want = sum(np.log(p(s[max(0, i - n_max + 1) : i + 1], 0)) - np.log(p(s[max(0, i - n_max + 1) : i + 1], 1)) for i in range(1, len(s)))
         assert model.differences([w])[0] == pytest.approx(want, rel=1e-4, abs=1e-4)

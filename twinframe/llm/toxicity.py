@@ -6,9 +6,10 @@ over all documents, labelled or not; a rare expression so costs both models alik
 features are the difference of its two log-likelihoods a letter (length-normalised), over the whole text and over its most toxic
 window of WINDOW words; a logistic curve fitted on labelled rows that the models' class counts leave out makes them a score.
 
-Counts grow with the corpus but tables don't: the n-grams of each order are hashed to a fixed number of slots (BITS), every
-document's counts go in, and no n-gram is dropped. That bounds what a task emits, what the driver gathers and what is broadcast
-(at most 150 MB, a few MB for plain languages) at any size of the corpus; the price is that n-grams may share a slot.
+The model grows with the corpus: n-grams are 64-bit hashes, counted, summed and smoothed order by order in tables of Spark,
+none is dropped or merged, and nothing depends on how the files are split. Scoring needs one number for each n-gram that ends a
+longest context: log p_toxic - log p_ordinary. Of these the GAINS most frequent are broadcast (all of them, if they are fewer);
+a text that has others gets their numbers by a join.
 """
 
 from __future__ import annotations
@@ -18,16 +19,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, release, small_batches
+from .common import ROWS_AT_ONCE, release, small_batches, stage
 
-#: log2 of the slots of each order, from single letters on.
-BITS = (12, 16, 18, 20, 20)
-ORDERS = len(BITS)
+#: Letters of the longest n-gram.
+ORDERS = 5
 
 #: Words of the window; different words counted before they are turned into n-grams, and words remembered when scoring.
 WINDOW, COUNTED_WORDS, MEMO_WORDS = 4, 200_000, 200_000
@@ -35,6 +34,9 @@ WINDOW, COUNTED_WORDS, MEMO_WORDS = 4, 200_000, 200_000
 #: Words turned into n-grams at a time, which bounds temporary arrays (about 40 MB).
 GRAM_WORDS = 20_000
 
+#: n-grams whose numbers are broadcast at most (12 bytes each: 48 MB).
+GAINS = 4_000_000
+
 #: At most so many labelled rows fit the logistic curve (the bounded sample; the n-gram counts take all rows).
 CALIBRATION_ROWS = 20_000
 
@@ -55,171 +57,153 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams(words: list[str]):
-    """For each order: slots of the n-grams that end at each letter or end mark, of their contexts and of their suffixes.
+    """For each order: hashes of the n-grams that end at each letter or end mark, of their contexts and of their suffixes.
 
-    Returns each symbol's word, its depth in the word, and for each order (n, places, slot, context, suffix), places being
-    positions among the joined words' symbols. An n-gram never reaches beyond its word's start mark.
+    Returns each symbol's word, and for each order (n, places, hash, context, suffix, top), places being positions among the
+    joined words' symbols; top n-grams end a longest context: those of the last order and those that begin with their word's
+    start mark. An n-gram never reaches beyond that mark.
     """
     codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(words)), sizes)
     depth = np.arange(len(codes)) - starts[owner]
-    out, before, acc = [], None, np.zeros(len(codes), np.uint64)
+    out, before, acc = [], np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
     for n in range(1, ORDERS + 1):
         shifted = np.zeros(len(codes), np.uint64)
         shifted[n - 1 :] = codes[: max(0, len(codes) - n + 1)]
-        acc = acc + (shifted + np.uint64(1)) * np.uint64(pow(0x9E3779B97F4A7C15, 2 * n + 1, 2**64))
+        # each symbol is mixed by itself before it is weighted by its place, so that sums of n-grams don't meet
+        shifted = (shifted + np.uint64(n << 32)) * np.uint64(0xFF51AFD7ED558CCD)
+        shifted = (shifted ^ (shifted >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        acc = acc + (shifted ^ (shifted >> np.uint64(29)))
         h = (acc ^ (acc >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        slot = (h >> np.uint64(64 - BITS[n - 1])).astype(np.int64)
+        h = h ^ (h >> np.uint64(32))
         at = np.flatnonzero(depth >= max(1, n - 1))
-        context = before[at - 1] if n > 1 else np.zeros(len(at), np.int64)
-        suffix = before[at] if n > 1 else np.zeros(len(at), np.int64)
-        out.append((n, at, slot[at], context, suffix))
-        before = slot
-    return owner, depth, out
-
-
-class Tables:
-    """Hashed counts of a task: for each order, three counts (toxic, ordinary, all) and the slots of context and suffix."""
-
-    def __init__(self):
-        self.counts = [np.zeros((3, 1 << b), np.int32) for b in BITS]  # of one task, whose input is a file split
-        self.links = [np.zeros((2, 1 << b), np.int32) for b in BITS]
-        self.words: list[Counter] = [Counter(), Counter(), Counter()]
-
-    def add(self, text: str | None, kind: int) -> None:
-        self.words[kind].update(words_of(text))
-        if sum(map(len, self.words)) > COUNTED_WORDS:
-            self.flush()
-
-    def flush(self) -> None:
-        for kind, counter in enumerate(self.words):
-            if not counter:
-                continue
-            words = list(counter)
-            n_of = np.fromiter(counter.values(), np.int32, len(words))
-            for a in range(0, len(words), GRAM_WORDS):
-                owner, _, orders = grams(words[a : a + GRAM_WORDS])
-                for n, at, slot, context, suffix in orders:
-                    weight = n_of[a : a + GRAM_WORDS][owner[at]]
-                    np.add.at(self.counts[n - 1][2], slot, weight)
-                    if kind != OTHER:
-                        np.add.at(self.counts[n - 1][1 - kind], slot, weight)  # row 0 toxic, row 1 ordinary
-                    self.links[n - 1][0][slot], self.links[n - 1][1][slot] = context, suffix
-            counter.clear()
-
-    def batch(self) -> pa.RecordBatch:
-        self.flush()
-        parts = []
-        for n, (c, link) in enumerate(zip(self.counts, self.links, strict=True)):
-            s = np.flatnonzero(c[2])
-            parts.append((np.full(len(s), n, np.int32), s.astype(np.int32), link[0][s], link[1][s], *(c[k][s].astype(np.float64) for k in range(3))))
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["n", "slot", "context", "suffix", "toxic", "ordinary", "total"])
-
-
-def count(df: DataFrame) -> pd.DataFrame:
-    """Hashed n-gram counts of (text, kind) rows; at most a row for each slot reaches the driver."""
+        nothing = np.zeros(len(at), np.uint64)
+        out.append((n, at, h[at], before[at - 1] if n > 1 else nothing, before[at] if n > 1 else nothing, (depth[at] == n - 1) | (n == ORDERS)))
+        before = h
+    return owner, out
+
+
+GRAMS = "n int, gram long, context long, suffix long, top boolean, toxic long, ordinary long, total long"
+
+
+def counted(words: list[Counter]) -> Iterator[pa.RecordBatch]:
+    """n-grams of counted words (toxic, ordinary, other): a row for each different one."""
+    weights = Counter()
+    for c in words:
+        weights.update(c)
+    every = list(weights)
+    for a in range(0, len(every), GRAM_WORDS):
+        part = every[a : a + GRAM_WORDS]
+        n_of = np.array([[words[0][w], words[1][w], weights[w]] for w in part], np.int64)
+        owner, orders = grams(part)
+        for n, at, h, context, suffix, top in orders:
+            gram, first, which = np.unique(h, return_index=True, return_inverse=True)
+            sums = [np.bincount(which, n_of[owner[at], k], len(gram)).astype(np.int64) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context[first], suffix[first])), pa.array(top[first]), *map(pa.array, sums)], names=["n", "gram", "context", "suffix", "top", "toxic", "ordinary", "total"])
+
+
+def count(df: DataFrame) -> DataFrame:
+    """n-grams of (text, kind) rows with their counts, one row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables()
+        words = [Counter(), Counter(), Counter()]
+        place = {TOXIC: 0, ORDINARY: 1, OTHER: 2}
         for b in batches:
             for start in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(start, ROWS_AT_ONCE)
                 for text, kind in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    tables.add(text, kind)
-        yield tables.batch()
-        del tables
+                    words[place[kind]].update(words_of(text))
+                    if sum(map(len, words)) > COUNTED_WORDS:
+                        yield from counted(words)
+                        for c in words:
+                            c.clear()
+        yield from counted(words)
+        del words
         release()
 
-    rows = df.select("text", "kind").mapInArrow(run, "n int, slot int, context int, suffix int, toxic double, ordinary double, total double")
-    summed = rows.groupBy("n", "slot").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.sum("total").alias("total"))
-    with small_batches(df.sparkSession):
-        return summed.toArrow().to_pandas()
+    rows = df.select("text", "kind").mapInArrow(run, GRAMS)
+    return stage(rows.groupBy("n", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.max("top").alias("top"), *(F.sum(c).alias(c) for c in ("toxic", "ordinary", "total"))))
 
 
-def discount(counts: np.ndarray) -> float:
+def discount(once: int, twice: int) -> float:
     """Kneser and Ney's estimate from the numbers of n-grams seen once and twice."""
-    once, twice = (counts == 1).sum(), (counts == 2).sum()
-    return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.9)) if once else 0.5
-
-
-class Sparse:
-    """Columns of numbers for the slots in use, found through an index of all slots; 0 for the rest."""
+    return min(0.9, max(0.1, once / max(once + 2 * twice, 1))) if once else 0.5
 
-    def __init__(self, size: int, *columns: np.ndarray):
-        self.size = size
-        self.at = np.flatnonzero(sum(c != 0 for c in columns)).astype(np.int32)
-        self.values = np.zeros((len(self.at) + 1, len(columns)), np.float32)
-        for k, c in enumerate(columns):
-            self.values[1:, k] = c[self.at]
-        self._index()
 
-    def _index(self) -> None:
-        self.index = np.zeros(self.size, np.int32)
-        self.index[self.at] = np.arange(1, len(self.at) + 1)
-
-    def __getstate__(self):
-        return self.size, self.at, self.values
+def gains(counts: DataFrame) -> DataFrame | None:
+    """(gram, gain, total) of the top n-grams: gain is log p_toxic - log p_ordinary of the last letter after its longest context. None without both classes.
 
-    def __setstate__(self, state):
-        self.size, self.at, self.values = state
-        self._index()
-
-    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
-        return self.values[self.index[slots]].T
+    Order by order: how many different letters precede an n-gram (its number, for the last order) are the shared model's counts;
+    p = (max(count - discount, 0) + discount x different continuations x p of the suffix) / count of the context, and p of the
+    suffix alone for contexts that the model lacks.
+    """
+    classes = counts.filter("n = 1").agg(F.sum("toxic"), F.sum("ordinary"), F.count("*")).first()
+    if not classes[0] or not classes[1]:
+        return None
+    out, below = [], None
+    for n in range(1, ORDERS + 1):
+        own = counts.filter(F.col("n") == n)
+        if n < ORDERS:
+            seen = counts.filter(F.col("n") == n + 1).groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("seen"))
+            own = own.join(seen, "gram", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+        else:
+            own = own.withColumn("seen", F.col("total"))
+        names = ("seen", "toxic", "ordinary")
+        few = own.agg(*(F.count_if(F.col(c) == k) for c in names for k in (1, 2))).first()
+        d = {c: discount(few[2 * k], few[2 * k + 1]) for k, c in enumerate(names)}
+        around = own.groupBy("context").agg(*(f.alias(f"{c}_{name}") for c in names for f, name in ((F.sum(c), "sum"), (F.count_if(F.col(c) > 0), "kinds"))))
+        own = own.join(around, "context")
+        if below is None:
+            own = own.withColumn("lower", F.lit(1.0 / (1 + classes[2])))
+        else:
+            own = own.join(below.select(F.col("gram").alias("suffix"), F.col("shared").alias("lower")), "suffix")
+        p = {c: F.when(F.col(f"{c}_sum") > 0, (F.greatest(F.col(c) - d[c], F.lit(0.0)) + d[c] * F.col(f"{c}_kinds") * F.col("lower")) / F.col(f"{c}_sum")).otherwise(F.col("lower")) for c in names}
+        below = stage(own.select("gram", "top", "total", F.greatest(p["seen"], F.lit(1e-12)).alias("shared"), (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("gain")))
+        out.append(below.filter("top").select("gram", "gain", "total"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.union(more)
+    return rows
 
 
 class Model:
-    """Both classes' models over hashed counts, and the curve that makes differences scores."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.grams, self.contexts, self.discounts = [], [], []
-        by = [rows[rows.n == n] for n in range(ORDERS)]
-        self.symbols = 1 + len(by[0])
-        for n in range(ORDERS):
-            size, r = 1 << BITS[n], by[n]
-            before = 1 << BITS[n - 1] if n else 1
-            slot, context = r.slot.to_numpy(), r.context.to_numpy() if n else np.zeros(len(r), int)
-            # lower orders of the shared model: how many different letters precede the n-gram
-            seen = np.bincount(by[n + 1].suffix.to_numpy(), minlength=size) if n + 1 < ORDERS else np.bincount(slot, r.total, size)
-            own = [seen[slot], r.toxic.to_numpy(), r.ordinary.to_numpy()]
-            self.grams.append(Sparse(size, *(np.bincount(slot, c, size) for c in own)))
-            self.contexts.append(Sparse(before, *(np.bincount(context, x, before) for c in own for x in (c, (c > 0).astype(float)))))
-            self.discounts.append([discount(c) for c in own])
-        self.usable = bool(rows.toxic.sum() > 0 and rows.ordinary.sum() > 0)
-        self.weights = np.array([-2.0, 4.0, 2.0])
+    """Numbers of the n-grams by hash, complete or the most frequent ones, and the curve that makes features scores."""
+
+    def __init__(self, gram: np.ndarray, gain: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.gain = gram[order], gain[order].astype(np.float32)
         self.memo: dict[str, float] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
 
-    def differences(self, words: list[str]) -> np.ndarray:
-        """log p_toxic - log p_ordinary of each word."""
-        owner, depth, orders = grams(words)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of n-grams (0 for those that it lacks) and whether it has them."""
+        if not len(self.gram):
+            return np.zeros(len(h)), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.gram, h), len(self.gram) - 1)
+        known = self.gram[at] == h
+        return np.where(known, self.gain[at], 0.0).astype(np.float64), known
+
+    def differences(self, words: list[str], lacking: list[np.ndarray] | None = None) -> np.ndarray:
+        """log p_toxic - log p_ordinary of each word; n-grams that the model lacks add nothing and go to lacking."""
+        owner, orders = grams(words)
         total = np.zeros(len(words))
-        p = np.full(len(owner), 1.0 / self.symbols)  # shared probability of the orders so far
-        for n, at, slot, context, _ in orders:
-            seen, below, discounts = self.grams[n - 1][slot], self.contexts[n - 1][context], self.discounts[n - 1]
-            q = p[at]
-
-            def probability(k: int, seen=seen, below=below, discounts=discounts, q=q) -> np.ndarray:
-                sums, kinds, d = below[2 * k], below[2 * k + 1], discounts[k]
-                return np.where(sums > 0, (np.maximum(seen[k] - d, 0) + d * kinds * q) / np.maximum(sums, 1e-9), q)
-
-            top = np.ones(len(at), bool) if n == ORDERS else depth[at] == n - 1
-            if top.any():
-                gain = np.log(probability(1)[top]) - np.log(probability(2)[top])
-                total += np.bincount(owner[at[top]], gain, len(words))
-            p[at] = np.maximum(probability(0), 1e-12)
+        for _, at, h, _, _, top in orders:
+            value, known = self.find(h[top].view(np.int64))
+            total += np.bincount(owner[at[top]], value, len(words))
+            if lacking is not None and not known.all():
+                lacking.append(np.unique(h[top].view(np.int64)[~known]))
         return total
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """A row of two numbers for each text. Words that the memo lacks are scored together, so texts should come many at a time."""
+    def features(self, texts: list[str | None], more: list | None = None) -> np.ndarray:
+        """A row of two numbers for each text. Words that the memo lacks are scored together, so texts should come many at a time.
+
+        more: for each text None, or rows (gram, gain) of the n-grams that the model lacks.
+        """
         out = np.zeros((len(texts), 2))
-        if not self.usable:
-            return out
         found = [LETTERS.findall((t or "").lower()) for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
@@ -228,13 +212,17 @@ class Model:
             self.memo.update(zip(missing[a : a + GRAM_WORDS], self.differences(missing[a : a + GRAM_WORDS]).tolist(), strict=True))
         for i, words in enumerate(found):
             if words:
-                out[i] = self._features(words)
+                memo = self.memo
+                if more is not None and more[i]:
+                    rest, own = Model(*(np.array([x[k] for x in more[i]], t) for k, t in (("gram", np.int64), ("gain", np.float64)))), sorted(set(words))
+                    memo = {w: memo[w] + d for w, d in zip(own, rest.differences(own).tolist(), strict=True)}
+                out[i] = self._features(words, memo)
         return out
 
-    def _features(self, words: list[str]) -> tuple[float, float]:
-        d = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
+    def _features(self, words: list[str], memo: dict[str, float]) -> tuple[float, float]:
+        d = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
         letters = np.fromiter(map(len, words), np.float64, len(words)) + 1
-        once = np.append(True, (d[1:] != d[:-1]) | (letters[1:] != letters[:-1]))  # as words_of(): a word in a row counts once
+        once = np.append(True, [w != last for w, last in zip(words[1:], words, strict=False)]) if (d[1:] == d[:-1]).any() else slice(None)  # as words_of(): a word in a row counts once
         d, letters = d[once], letters[once]
         whole = d.sum() / letters.sum()
         if len(d) <= WINDOW:
@@ -242,25 +230,19 @@ class Model:
         a, b = np.cumsum(np.insert(d, 0, 0.0)), np.cumsum(np.insert(letters, 0, 0.0))
         return whole, float(((a[WINDOW:] - a[:-WINDOW]) / (b[WINDOW:] - b[:-WINDOW])).max())
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if not self.usable:
-            return np.zeros(len(texts))
-        z = np.hstack([np.ones((len(texts), 1)), self.features(texts)]) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    def calibrate(self, texts: list[str], labels: list[int]) -> None:
-        """Logistic regression on the two features by Newton steps with a little ridge; kept as it is unless both classes occur."""
-        y = np.array(labels, float)
-        if not self.usable or not 0 < y.sum() < len(y):
-            return
-        x = np.hstack([np.ones((len(texts), 1)), np.vstack([self.features(texts[a : a + ROWS_AT_ONCE]) for a in range(0, len(texts), ROWS_AT_ONCE)])])
-        w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
-        for _ in range(30):
-            q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-            step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge, x.T @ (y - q) - ridge @ w)
-            w = w + np.clip(step, -20, 20)
-        self.weights = w
-        self.memo.clear()
+def curve_of(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression on the two features, by Newton steps with a little ridge; fixed ones unless both classes occur."""
+    y = labels.astype(float)
+    if not 0 < y.sum() < len(y):
+        return np.array([-2.0, 4.0, 2.0])
+    x = np.hstack([np.ones((len(y), 1)), features])
+    w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
+    for _ in range(30):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge, x.T @ (y - q) - ridge @ w)
+        w = w + np.clip(step, -20, 20)
+    return w
 
 
 def fold(id_col: str) -> Column:
@@ -272,40 +254,87 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(id_col) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+class Fitted:
+    """The numbers of all n-grams, the broadcast ones, and the curve; score() adds its columns to tables."""
+
+    def __init__(self, rows: DataFrame | None):
+        self.weights, self.rest, self.model = None, None, None
+        if rows is None:
+            return
+        held = rows
+        if rows.count() > GAINS:
+            least = rows.orderBy(F.desc("total"), "gram").limit(GAINS)
+            held, self.rest = least, rows.join(least.select("gram"), "gram", "left_anti").select("gram", "gain")
+        held = held.select("gram", "gain").toArrow()
+        self.model = rows.sparkSession.sparkContext.broadcast(Model(*(held.column(k).to_numpy() for k in range(2))))
+
+    def features(self, df: DataFrame, text_col: str, name: str) -> DataFrame:
+        """df with a column of two numbers."""
+        shared, pairs = self.model, "array<struct<gram:long,gain:double>>"
+
+        @F.arrow_udf("array<double>")
+        def numbers(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            m = shared.value
+            for texts, more in batches:
+                parts = [m.features(texts.slice(a, ROWS_AT_ONCE).to_pylist(), more.slice(a, ROWS_AT_ONCE).to_pylist()) for a in range(0, len(texts), ROWS_AT_ONCE)]
+                flat = np.concatenate([np.zeros((0, 2)), *parts])
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(flat) + 1, 2, dtype=np.int32)), pa.array(flat.ravel()))
+            m.memo.clear()
+            release()
+
+        if self.rest is None:
+            return df.withColumn(name, numbers(F.col(text_col), F.lit(None).cast(pairs)))
+
+        def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for b in batches:
+                for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    found: list[np.ndarray] = []
+                    m.differences(sorted(set(words_of(text))), found)
+                    if found:
+                        gram = np.concatenate(found)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key)), pa.array(gram)], names=["key", "gram"])
+            release()
+
+        wanted = df.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(lacking, "key long, gram long").distinct()
+        more = wanted.join(self.rest, "gram").groupBy("key").agg(F.collect_list(F.struct("gram", "gain")).alias("more"))  # bounded by the text's own n-grams
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+        met = df.select(row, F.xxhash64(text_col).alias("key")).join(stage(more), "key", "left")
+        return met.select("row.*", numbers(F.col(f"row.`{text_col}`"), F.col("more").cast(pairs)).alias(name))
+
+    def score(self, df: DataFrame, text_col: str, name: str) -> DataFrame:
+        """df with a column of scores, 0 to 1."""
+        if self.model is None:
+            return df.withColumn(name, F.lit(0.0))
+        w = [float(x) for x in self.weights]
+        z = F.lit(w[0]) + F.col(name)[0] * w[1] + F.col(name)[1] * w[2]
+        return self.features(df, text_col, name).withColumn(name, F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z)))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
     """Counts all documents and fits the curve; labels are used of rows that aren't held out, of which up to CALIBRATION_ROWS (one in eight, least hashes first) only for the curve.
 
-    A document with several labels is toxic if one of them is 1; null labels, ids and texts count as absent.
+    A document with several labels is toxic if one of them is 1; null labels, ids and texts count as absent. The driver sees three
+    numbers of each row of the curve's sample, and no texts.
     """
     marks = labels.filter(~held_out(id_col) & F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     joined = docs.select(id_col, F.col(text_col).alias("text")).join(marks, id_col, "left")
-    curve = F.coalesce(F.floor(fold(id_col) / 4) % 8 == 3, F.lit(False))
     h = F.xxhash64(id_col)
-    sample = joined.filter(F.col("toxic").isNotNull() & curve).select("text", "toxic", h.alias("h")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
+    curve = F.coalesce(F.floor(fold(id_col) / 4) % 8 == 3, F.lit(False)) & F.col("toxic").isNotNull()
+    sample = joined.filter(curve).select(h.alias("h")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
     if len(sample) == CALIBRATION_ROWS:  # rows beyond the sample are learnt from
         curve = curve & (h <= max(sample["h"].to_pylist()))
     kind = F.when(F.col("toxic").isNull() | curve, OTHER).otherwise(F.col("toxic")).cast("int")
-    model = Model(count(joined.select("text", kind.alias("kind"))))
-    model.calibrate(sample["text"].to_pylist(), sample["toxic"].to_pylist())
-    return model
-
-
-def score_column(model: Model, text_col: str = "text") -> Column:
-    """A column of scores; the model has a bounded size and is broadcast."""
-    shared = SparkSession.active().sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
-        for texts in batches:
-            parts = [m.scores(texts.slice(a, ROWS_AT_ONCE).to_pylist()) for a in range(0, len(texts), ROWS_AT_ONCE)]
-            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
-        m.memo.clear()
-        release()
-
-    return score(F.col(text_col))
+    with small_batches(docs.sparkSession):
+        fitted = Fitted(gains(count(joined.select("text", kind.alias("kind")))))
+        if fitted.model is not None:
+            rows = fitted.features(joined.filter(curve).select(h.alias("h"), "toxic", "text"), "text", "f").select("h", "toxic", F.col("f")[0].alias("a"), F.col("f")[1].alias("b")).toArrow()
+            x = np.array([rows[c].to_numpy() for c in ("h", "a", "b", "toxic")], float).T
+            x = x[np.lexsort(x.T)]  # sums that don't depend on the order of rows
+            fitted.weights = curve_of(x[:, 1:3], x[:, 3])
+    return fitted
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,12 +343,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts get the score of a text without evidence; without labels of both classes every score is 0; repeated
     rows give repeated results; only the id and text columns are read, and of labels the id and toxic.
     """
-    model = fit(docs, labels, id_col, text_col)
-    scored = docs.select(id_col, held_out(id_col).alias("held_out"), score_column(model, text_col).alias("score"))
+    fitted = fit(docs, labels, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scored = fitted.score(rows, "text", "score").select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that aren't predicted toxic, with all their columns."""
-    model = fit(docs, labels, id_col, text_col)
-    return docs.filter(score_column(model, text_col) < THRESHOLD)
+    """The rows that aren't predicted toxic, with all their columns, whatever their names."""
+    fitted = fit(docs, labels, id_col, text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{text_col}`").alias("text"))
+    return fitted.score(rows, "text", "score").filter(F.col("score") < THRESHOLD).select("whole.*")
