@@ -21,6 +21,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        # stages with many sorts and aggregates hold a page each: small pages, and dead broadcasts are collected in time
+        .config("spark.buffer.pageSize", "2m")
+        .config("spark.cleaner.periodicGC.interval", "1min")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()

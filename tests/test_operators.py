@@ -122,3 +122,18 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_ranks_at_any_number_of_partitions(spark):
+    from twinframe.operators import groups
+
+    d = spark.range(500).select(F.col("id"), (F.col("id") * 37 % 11).alias("x"))
+    want = {r: i + 1 for i, r in enumerate(sorted((i * 37 % 11, -i) for i in range(500)))}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {(r.x, -r.id): r["rank"] for r in groups.ranked(d, [F.col("x"), F.desc("id")]).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

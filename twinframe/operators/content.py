@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import jaccard
-from .graph import strongest
+from .graph import reliable, strongest
 
 
 def exploded(items: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -46,14 +46,17 @@ def exact_pairs(indexed: DataFrame, body: str, first: int) -> DataFrame:
 def verified(pairs: DataFrame, items: DataFrame, least: float, exact: DataFrame | None = None) -> DataFrame:
     """Pairs with their token sets' similarity (1 for exact ones), of at least `least`.
 
-    Sizes are compared first: sets of n and m tokens can't be more alike than the smaller over the larger. What is left meets
-    as arrays of 64-bit hashes, and only pairs that these let pass are measured on the tokens themselves.
+    Candidates are cut from their lineage, and so are the sets of the items in them: tokens are read once more, for those items
+    only. Sizes are compared first: sets of n and m tokens can't be more alike than the smaller over the larger. What is left
+    meets as arrays of 64-bit hashes, and only pairs that these let pass are measured on the tokens themselves.
     """
     all_pairs = pairs.select("group", "a", "b", F.lit(False).alias("same"))
     if exact is not None:
         all_pairs = all_pairs.union(exact.select("group", "a", "b", F.lit(True).alias("same"))).groupBy("group", "a", "b").agg(F.bool_or("same").alias("same"))
-    sets = items.select("group", "id", F.array_distinct("tokens").alias("t"))
-    sized = sets.select("group", "id", F.size("t").alias("n"), F.transform("t", lambda x: F.xxhash64(x)).alias("h"))
+    all_pairs = reliable(all_pairs)
+    wanted = all_pairs.select("group", F.col("a").alias("id")).union(all_pairs.select("group", F.col("b").alias("id"))).distinct()
+    sets = reliable(items.select("group", "id", "tokens").join(wanted, ["group", "id"], "left_semi").select("group", "id", F.array_distinct("tokens").alias("t")))
+    sized = reliable(sets.select("group", "id", F.size("t").alias("n"), F.transform("t", lambda x: F.xxhash64(x)).alias("h")))
     side = lambda d, name, **c: d.select("group", F.col("id").alias(name), *[F.col(v).alias(k) for k, v in c.items()])
     near = all_pairs.join(side(sized, "a", n="n"), ["group", "a"]).join(side(sized, "b", m="n"), ["group", "b"])
     near = near.filter(F.col("same") | (F.least("n", "m") >= F.greatest("n", "m") * least))

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the session names; in a folder of its own only where it names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share. A temporary one only in local sessions that name none; elsewhere each executor would write its own disk, so that is an error."""
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
+    if named:
+        return named
+    if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = tempfile.mkdtemp(prefix="twinframe-")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="twinframe-"))
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

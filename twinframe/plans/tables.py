@@ -143,28 +143,41 @@ def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constants_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as named constants: the name, the items (brand and words of the type) and a file (size)."""
+    """What the analysis finds among parts as named constants: the name and brand, the items (brand and words of the type) and a file (size)."""
+    from .analyze import constant_clusters
+
     p = table(spark, sf_dir, "part")
-    items = F.array_sort(F.array_distinct(F.concat(F.array("p_brand"), F.split("p_type", " "))))
-    return p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), items.alias("items"), F.sha2(F.array_join(items, "|"), 256).alias("hash"), F.concat(F.lit("f"), F.col("p_size")).alias("file"))
+    items, name = F.array_sort(F.array_distinct(F.concat(F.array("p_brand"), F.split("p_type", " ")))), F.concat_ws(" ", "p_name", "p_brand")
+    rows = p.select(F.concat(F.lit("f"), F.col("p_size")).alias("file"), F.col("p_partkey").alias("start_line"), F.col("p_partkey").alias("end_line"), name.alias("symbol"), name.alias("normalized_symbol"), F.lit("list").alias("literal_kind"), items.alias("literal_items"), F.lit("source").alias("role"))
+    return constant_clusters(rows.withColumn("literal_preview", F.array_join("literal_items", "|")).withColumn("literal_hash", F.sha2("literal_preview", 256)))
 
 
 def constant_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constants_of(spark, sf_dir).groupBy("name", "hash").agg(F.count("*").alias("members"), F.count_distinct("file").alias("files")).filter("members > 1")
+    return constants_of(spark, sf_dir).filter("kind = 'identical'").select(F.array_join("symbols", ",").alias("symbols"), "members", F.size("files").cast("long").alias("files"), "line_span")
 
 
 def constant_drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names whose variants share at least half of the smallest one's items, in two files or more."""
-    c = constants_of(spark, sf_dir)
-    per = c.groupBy("name").agg(F.count_distinct("hash").alias("variants"), F.count_distinct("file").alias("files"), F.min(F.size("items")).alias("smallest")).filter("variants > 1 and files > 1")
-    shared = c.select("name", "hash", F.explode("items").alias("item")).distinct().groupBy("name", "item").agg(F.count("*").alias("has"))
-    common = shared.join(per, "name").filter("has = variants").groupBy("name").agg(F.count("*").alias("common"))
-    overlap = F.coalesce(F.col("common"), F.lit(0)) / F.col("smallest")
-    return per.join(common, "name", "left").withColumn("overlap", overlap.cast("double")).filter("overlap >= 0.5").select("name", "variants", "files", "overlap")
+    return constants_of(spark, sf_dir).filter("kind = 'drifted'").select(F.array_join("symbols", ",").alias("symbols"), "variants", F.size("files").cast("long").alias("files"), F.col("overlap").cast("double").alias("overlap"))
 
 
 def constant_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constants_of(spark, sf_dir).groupBy("hash").agg(F.count_distinct("name").alias("names"), F.count("*").alias("members")).filter("names > 1")
+    return constants_of(spark, sf_dir).filter("kind = 'scattered'").select(F.array_join("symbols", ",").alias("symbols"), "members")
+
+
+#: Folders and file names of the paths that file_records() describes, by part.
+FOLDERS = ("src", "tests", "vendor", "dist", "generated", "fixtures", "docs", "Test", "node_modules", "lib")
+FILES = ("main.py", "test_a.py", "a_test.ts", "a.spec.js", "README.md", "setup.cfg", "package.json", "b.generated.ts", "conftest.py", "notes.txt", "x.rs", "c.py", "D.TSX")
+
+
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, role and test flag of a path for each part."""
+    from ..sources import files
+
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    path = F.concat_ws("/", pick(FOLDERS), F.replace("p_name", F.lit(" "), F.lit("/")), pick(FILES))
+    p = table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+    return p.select("p_partkey", "path", files.language(F.col("path")).alias("language"), files.role(F.col("path")).alias("role"), files.flags(F.col("path"))["is_test"].alias("is_test"))
 
 
 def multiset_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,14 +335,9 @@ def summary_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equivalence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers with the same set of part classes: the one with the largest balance stays."""
-    s = supplier_sets(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), "s_acctbal"), "key")
-    return groups.equivalents(s, "members", [F.desc("s_acctbal"), F.col("key")]).select("key", F.array_join(F.array_sort("members"), ",").alias("members"))
-
-
-def supplier_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), F.concat("l_returnflag", "l_linestatus", (F.col("l_quantity") % 7).cast("int").cast("string")).alias("x")).filter("l_suppkey % 3 = 0 or l_quantity > 40")
-    return li.groupBy("key").agg(F.collect_set("x").alias("members")).withColumn("rank", (F.col("key") % 4).cast("int")).withColumn("kind", F.col("key") % 2)
+    """Orders with the same set of size classes: the one with the highest price stays."""
+    s = order_sets(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice"), "key")
+    return groups.equivalents(s, "members", [F.desc("o_totalprice"), F.col("key")]).select("key", F.array_join(F.array_sort("members"), ",").alias("members"))
 
 
 def subsumed_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,7 +440,7 @@ def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """lines_as_statements exact_body_groups token_document_frequency rare_tokens content_edges similarity_pairs top8_neighbours shared_windows
     maximal_runs shared_blocks connected_components bounded_components bucket_pairs bucket_cut_counts candidate_topk name_similarity identifier_tokens constant_identical
-    constant_drifted constant_scattered multiset_similarity mean_jaccard_by_key lcs_prefix_suffix lcs_lengths language_by_suffix role_ladder path_roles file_selection
+    constant_drifted constant_scattered file_records multiset_similarity mean_jaccard_by_key lcs_prefix_suffix lcs_lengths language_by_suffix role_ladder path_roles file_selection
     role_counts zero_filled_counts lead_row_per_group group_structural_metrics noisy_or_payoff ramp_scores fit_score risk_score detection_ladder review_tier semantic_cap
     summary_eligible equivalence_dedupe subsumed_anti_join ranked_findings surfaces stable_ids semi_anti_pairs union_exact_rare multiset_intersection coverage_summary
     mirror_members candidate_statistics subcluster_scores cluster_summary shape_groups top_clusters""".split()

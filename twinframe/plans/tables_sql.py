@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .. import vocab
+from .tables import FILES, FOLDERS
+
 W = r"regexp_extract_all(text, '[^ \n\t\r]+')"
 
 ITEMS = f"""items AS (SELECT doc_id AS id, list_distinct({W}) AS tokens, sha256(text) AS body FROM documents),
@@ -47,10 +50,20 @@ est AS (
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY estimate DESC, a, b) AS n FROM est) WHERE n <= 400)"""
 
 CONSTANTS = """c AS (
-  SELECT p_partkey AS key, p_name AS name, list_sort(list_distinct([p_brand] || string_split(p_type, ' '))) AS items, 'f' || p_size AS file FROM part
+  SELECT p_partkey AS key, p_name || ' ' || p_brand AS name, list_sort(list_distinct([p_brand] || string_split(p_type, ' '))) AS items, 'f' || p_size AS file FROM part
 ),
 ch AS (SELECT *, sha256(array_to_string(items, '|')) AS hash FROM c)"""
 
+
+def listed(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+RECORDS = f"""f AS (SELECT p_partkey, {listed(FOLDERS)}[p_partkey % {len(FOLDERS)} + 1] || '/' || replace(p_name, ' ', '/') || '/' || {listed(FILES)}[p_partkey % {len(FILES)} + 1] AS path FROM part),
+g AS (SELECT *, string_split(lower(path), '/') AS parts, lower(string_split(path, '/')[-1]) AS name FROM f),
+h AS (SELECT *, string_split(name, '.')[1] AS stem, string_split(name, '.')[-1] AS suffix, list_has_any(parts, {listed(vocab.FIXTURE_PARTS)}) AS fixture FROM g),
+i AS (SELECT *, fixture OR list_has_any(parts, {listed(vocab.TEST_PARTS)}) OR starts_with(stem, 'test_') OR regexp_matches(stem, '_tests?$') OR regexp_matches(name, '\\.(test|spec)\\.') OR name IN ('conftest.py', 'tests.py') AS is_test FROM h)"""
+
 PATH = r"regexp_extract(url, '^[^:]*://[^/?#]*(/[^?#]*)?', 1)"
 
 SCORED = """m AS (
@@ -87,8 +100,7 @@ ranked AS (
   SELECT *, row_number() OVER (ORDER BY list_position(['recommended_edit', 'review_candidate', 'maintenance_note', 'observation'], tier), score DESC, l_partkey) AS rank FROM tiered
 )"""
 
-SETS = """li AS (SELECT l_suppkey AS key, l_returnflag || l_linestatus || CAST(CAST(l_quantity % 7 AS INTEGER) AS VARCHAR) AS x FROM lineitem WHERE l_suppkey % 3 = 0 OR l_quantity > 40),
-sets AS (SELECT key, list_sort(list(DISTINCT x)) AS members FROM li GROUP BY key)"""
+SETS = """sets AS (SELECT l_orderkey AS key, list_sort(list(DISTINCT CAST(CAST(l_quantity % 9 AS INTEGER) AS VARCHAR))) AS members FROM lineitem GROUP BY 1)"""
 
 NAME = """CASE WHEN l = r THEN 1.0::DOUBLE
   WHEN abs(length(l) - length(r)) > greatest(length(l), length(r)) * 0.5 THEN 0.0::DOUBLE
@@ -136,14 +148,24 @@ SELECT l AS left_name, r AS right_name, {NAME} AS similarity FROM p""",
   SELECT key, identifier, list_transform(regexp_extract_all(replace(regexp_replace(regexp_replace(identifier, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_', ' '), '[A-Za-z0-9]+'), lambda w: lower(w)) AS ws FROM both_
 )
 SELECT key, identifier, array_to_string(ws, ' ') AS normalized, len(ws) AS n_tokens FROM t""",
-        "constant_identical": f"WITH {CONSTANTS} SELECT name, hash, count(*) AS members, count(DISTINCT file) AS files FROM ch GROUP BY 1, 2 HAVING count(*) > 1",
+        "constant_identical": f"WITH {CONSTANTS} SELECT name AS symbols, count(*) AS members, count(DISTINCT file) AS files, count(*) AS line_span FROM ch GROUP BY name, hash HAVING count(*) > 1",
         "constant_drifted": f"""WITH {CONSTANTS},
 per AS (SELECT name, count(DISTINCT hash) AS variants, count(DISTINCT file) AS files, min(len(items)) AS smallest FROM ch GROUP BY name HAVING count(DISTINCT hash) > 1 AND count(DISTINCT file) > 1),
 it AS (SELECT DISTINCT name, hash, unnest(items) AS item FROM ch),
 has AS (SELECT name, item, count(*) AS n FROM it GROUP BY 1, 2),
 com AS (SELECT name, count(*) AS common FROM has JOIN per USING (name) WHERE n = variants GROUP BY name)
-SELECT name, variants, files, coalesce(common, 0) / CAST(smallest AS DOUBLE) AS overlap FROM per LEFT JOIN com USING (name) WHERE coalesce(common, 0) / CAST(smallest AS DOUBLE) >= 0.5""",
-        "constant_scattered": f"WITH {CONSTANTS} SELECT hash, count(DISTINCT name) AS names, count(*) AS members FROM ch GROUP BY hash HAVING count(DISTINCT name) > 1",
+SELECT name AS symbols, variants, files, coalesce(common, 0) / CAST(smallest AS DOUBLE) AS overlap FROM per LEFT JOIN com USING (name) WHERE coalesce(common, 0) / CAST(smallest AS DOUBLE) >= 0.5""",
+        "constant_scattered": f"WITH {CONSTANTS} SELECT array_to_string(list_sort(list(DISTINCT name)), ',') AS symbols, count(*) AS members FROM ch GROUP BY hash HAVING count(DISTINCT name) > 1",
+        "file_records": f"""WITH {RECORDS} SELECT p_partkey, path,
+CASE {' '.join(f"WHEN suffix = '{k}' THEN '{v}'" for k, v in vocab.LANGUAGES.items())} ELSE 'unknown' END AS language,
+CASE WHEN list_has_any(parts, {listed(vocab.VENDOR_PARTS)}) THEN 'vendor' WHEN list_has_any(parts, {listed(vocab.BUILD_PARTS)}) THEN 'build_output'
+WHEN list_has_any(parts, {listed(vocab.GENERATED_PARTS)}) OR contains(name, 'generated') THEN 'generated' WHEN fixture THEN 'fixture' WHEN is_test THEN 'test'
+WHEN list_contains({listed(vocab.DOCUMENT_SUFFIXES)}, suffix) THEN 'documentation' WHEN list_contains({listed(vocab.CONFIG_NAMES)}, name) OR list_contains({listed(vocab.CONFIG_SUFFIXES)}, suffix) THEN 'configuration' ELSE 'source' END AS role,
+is_test FROM i""",
+        "lcs_lengths": f"""WITH RECURSIVE {ROLES}, d(conv_id, i, r) AS (
+SELECT conv_id, 0, list_transform(range(0, len(y) + 1), lambda k: 0) FROM both_
+UNION ALL SELECT d.conv_id, i + 1, [0] || list_transform(range(1, len(y) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN y[k] = x[i + 1] THEN r[k] + 1 ELSE r[k + 1] END))) FROM d JOIN both_ ON both_.conv_id = d.conv_id WHERE i < len(x))
+SELECT d.conv_id, CAST(r[len(y) + 1] AS BIGINT) AS lcs FROM d JOIN both_ ON both_.conv_id = d.conv_id WHERE i = len(x)""",
         "multiset_similarity": """WITH bags AS (SELECT l_orderkey AS k, p_size % 5 AS cls, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 o AS (SELECT o_orderkey AS l, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
 p AS (SELECT * FROM o WHERE r IS NOT NULL AND l IN (SELECT k FROM bags) AND r IN (SELECT k FROM bags)),
@@ -177,7 +199,7 @@ SELECT o_orderkey, floor(x * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS
         "semantic_cap": f"""WITH {TIERED}, r AS (SELECT *, CASE WHEN returned = 0 THEN 'declaration' WHEN members < 10 THEN 'trivial' WHEN returned / CAST(members AS DOUBLE) >= 0.8 THEN 'dominant' END AS rule FROM tiered)
 SELECT l_partkey, rule, CASE WHEN rule = 'declaration' THEN 'observation' WHEN rule IS NOT NULL AND tier IN ('recommended_edit', 'review_candidate') THEN 'maintenance_note' ELSE tier END AS tier FROM r""",
         "summary_eligible": f"WITH {TIERED} SELECT tier, count(*) AS n, count(*) FILTER (members > 1 AND files > 1 AND risk < 0.65) AS eligible FROM tiered GROUP BY tier",
-        "equivalence_dedupe": f"WITH {SETS} SELECT key, array_to_string(members, ',') AS members FROM sets JOIN supplier ON s_suppkey = key QUALIFY row_number() OVER (PARTITION BY members ORDER BY s_acctbal DESC, key) = 1",
+        "equivalence_dedupe": f"WITH {SETS} SELECT key, array_to_string(members, ',') AS members FROM sets JOIN orders ON o_orderkey = key QUALIFY row_number() OVER (PARTITION BY members ORDER BY o_totalprice DESC, key) = 1",
         "subsumed_anti_join": """WITH s AS (SELECT l_orderkey AS key, list(DISTINCT CAST(CAST(l_quantity % 9 AS INTEGER) AS VARCHAR)) AS members FROM lineitem GROUP BY 1),
 f AS (SELECT key, members, o_custkey AS kind, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rank FROM s JOIN orders ON o_orderkey = key)
 SELECT key FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.kind = f.kind AND g.rank <= f.rank AND len(f.members) < len(g.members) AND list_has_all(g.members, f.members))""",
