@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,19 +36,6 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local runs)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    path = tempfile.mkdtemp(prefix="twinframe-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def small(df: DataFrame) -> DataFrame:
     """The table, to be broadcast if its rows are counted and few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -76,7 +62,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame) -> DataFrame:
     """Writes a large intermediate as compressed Parquet in the shared folder and reads it back; removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/twinframe-stage-{uuid.uuid4().hex}"
+    path = f"{graph.shared_folder(spark)}/twinframe-stage-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
     jvm, jconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
