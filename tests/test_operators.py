@@ -105,7 +105,7 @@ def test_queries_have_sql(spark, sf):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     queries, sql = tables.queries(), entry.oracle_sql()
-    assert set(queries) - set(sql) == {"shared_blocks", "bounded_components", "lcs_lengths"}
+    assert set(queries) - set(sql) == {"shared_blocks", "bounded_components"}
 
     def plain(rows):
         return sorted(repr([float(f"{v:.10g}") if isinstance(v, float) else v for v in r]) for r in rows)
