@@ -65,17 +65,21 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{graph.shared_folder(spark)}/twinframe-stage-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.parquet(path)
-    jvm, jconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    atexit.register(removed, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    def remove() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jconf).delete(target, True)
-        except Exception:  # noqa: BLE001  the JVM may have ended before the interpreter
-            pass
 
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table, if it and the JVM are still there."""
+    with contextlib.suppress(Exception):  # the JVM may have ended before the interpreter
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(staged: DataFrame) -> None:
+    """Deletes what stage() wrote for this table, from which nothing is computed any more."""
+    for path in {file.rsplit("/", 1)[0] for file in staged.inputFiles()}:
+        removed(staged.sparkSession, path)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str) -> DataFrame:
