@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blocks, buckets, content, graph, groups
+from . import assess
 
 WORD = r"([^ \n\t\r]+)"
 SUFFIXES = {"py": "python", "js": "javascript", "ts": "typescript", "html": "html", "md": "markdown"}
@@ -289,8 +290,29 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("l_partkey", "members", "files", "returned", floor4(payoff).alias("payoff"), floor4(risk).alias("risk"), floor4(cost).alias("cost"), floor4(fit).alias("fit"), floor4(detection.cast("double")).alias("detection"))
 
 
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as drafts of the analysis: counts of their line items give members, pairs and lengths, the key decides the kind of evidence."""
+    k, members, returned, none = F.col("l_partkey"), F.col("members"), F.col("returned"), F.array().cast("array<string>")
+    m = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("members"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.max("l_quantity").alias("lines"), F.collect_set((F.col("l_suppkey") % 7).cast("string")).alias("files"))
+    named = lambda **names: F.array_compact(F.array(*[F.when(c, n) for n, c in names.items()]))
+    one_of = lambda key, *names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    part = {f"{name}_members": F.when(k % 13 == i, members % 8).otherwise(0) for i, name in enumerate(("declaration", "api", "interface", "trivial", "example", "test", "protocol", "constructor", "special"))}
+    return m.withColumns({
+        "member_count": members % 8, "duplicate_pairs": F.when(k % 5 == 0, returned).otherwise(0), "blocks": F.when(k % 5 == 1, members).otherwise(0), "constants": F.when((k % 5 == 2) & (returned % 2 == 0), 1).otherwise(0),
+        "relation_pairs": F.when(k % 5 == 3, members).otherwise(0), "body_matches": F.when(k % 10 == 0, returned).otherwise(0), "evidence_kinds": F.when(k % 5 == 4, F.array(F.lit("argument_normalization_wrapper"))).otherwise(none),
+        "basis": named(body_structure_similarity=returned % 2 == 0, call_fingerprint_overlap=returned % 3 == 0, parameter_use_similarity=members % 2 == 0, anti_unification_template=members % 3 == 0),
+        "extraction": one_of(returned, "high", "medium", "low", "unknown"), "editable_skeleton": k % 7 == 0, "clean_clone": k % 6 == 0, "scope": one_of(k, "same_language", "analogous", "same_language"),
+        "lead_confidence": returned / members, "lead_relatedness": members % 10 / 10.0, "lead_refactorability": returned % 7 / 8.0, "lead_tree": members % 8 / 8.0, "lead_stable": members % 6, "lead_holes": returned % 4, "lead_hole_size": members % 9,
+        "lead_cost": returned % 5 / 5.0, "lead_risk": F.when(k % 4 == 0, 0.0).otherwise(members % 11 / 16.0), "risks": returned % 3, "semantic_shared": k % 2, "semantic_declarations": members % 2, "semantic_unresolved": returned % 2,
+        "semantic_ambiguous": F.when(k % 8 == 0, 1).otherwise(0), "semantic_divergent": F.when(k % 9 == 0, 1).otherwise(0), "line_span": F.col("lines") + members, "block_lines": members % 20, "max_body_lines": members % 14,
+        "file_roles": F.when(k % 4 == 1, F.array(F.lit("source"), F.lit("test"))).when(k % 4 == 2, F.array(F.lit("test"))).when(k % 4 == 3, F.array(F.lit("generated"))).otherwise(none),
+        "same_role_pairs": returned, "covered_members": F.when(k % 13 == 9, 0).otherwise(members % 8), **part,
+        "tier": one_of(k, *TIERS), "action": one_of(members, *assess.EDITS, *assess.NOTES), "status": one_of(returned, "recommended", "cautious"),
+    })
+
+
 def noisy_or_payoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("l_partkey", "payoff")
+    return assess.score(drafts(spark, sf_dir)).select("l_partkey", "payoff", "payoff_band")
 
 
 def ramp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,15 +322,15 @@ def ramp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("l_partkey", "fit", "cost")
+    return assess.score(drafts(spark, sf_dir)).select("l_partkey", "fit", "cost", "fit_band")
 
 
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("l_partkey", "risk")
+    return assess.score(drafts(spark, sf_dir)).select("l_partkey", "risk", "risk_band")
 
 
 def detection_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("l_partkey", "detection")
+    return assess.score(drafts(spark, sf_dir)).select("l_partkey", "detection", "detection_band")
 
 
 def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,11 +345,8 @@ def review_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that applies caps the tier."""
-    t = tiered(spark, sf_dir)
-    rule = F.coalesce(F.when(F.col("returned") == 0, "declaration"), F.when(F.col("members") < 10, "trivial"), F.when(F.col("returned") / F.col("members") >= 0.8, "dominant"))
-    capped = F.when(rule == "declaration", "observation").when(rule.isNotNull() & F.col("tier").isin("recommended_edit", "review_candidate"), "maintenance_note").otherwise(F.col("tier"))
-    return t.select("l_partkey", rule.alias("rule"), capped.alias("tier"))
+    """Drafts of every tier, action and status after the caps; the first rule that applies."""
+    return assess.cap(drafts(spark, sf_dir)).select("l_partkey", F.col("cap_rule").alias("rule"), "tier", "action", "status")
 
 
 def summary_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:

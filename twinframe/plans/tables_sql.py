@@ -100,6 +100,86 @@ ranked AS (
   SELECT *, row_number() OVER (ORDER BY list_position(['recommended_edit', 'review_candidate', 'maintenance_note', 'observation'], tier), score DESC, l_partkey) AS rank FROM tiered
 )"""
 
+
+def one_of(key: str, names) -> str:
+    return f"{listed(names)}[{key} % {len(names)} + 1]"
+
+
+#: round() as Python's: printf rounds a double's exact value.
+R4 = "CAST(printf('%.4f', {0}) AS DOUBLE)"
+
+MEMBERS = ("declaration", "api", "interface", "trivial", "example", "test", "protocol", "constructor", "special")
+
+DRAFTS = f"""m AS (
+  SELECT l_partkey AS k, count(*) AS members, count(*) FILTER (l_returnflag = 'R') AS returned, max(l_quantity) AS lines, count(DISTINCT l_suppkey % 7) AS files FROM lineitem GROUP BY 1
+),
+d AS (
+  SELECT k, members % 8 AS member_count, CASE WHEN k % 5 = 0 THEN returned ELSE 0 END AS duplicate_pairs, CASE WHEN k % 5 = 1 THEN members ELSE 0 END AS blocks, CASE WHEN k % 5 = 2 AND returned % 2 = 0 THEN 1 ELSE 0 END AS constants,
+    CASE WHEN k % 5 = 3 THEN members ELSE 0 END AS relation_pairs, CASE WHEN k % 10 = 0 THEN returned ELSE 0 END AS body_matches, k % 5 = 4 AS wrapped, (returned % 2 = 0)::INT + (returned % 3 = 0)::INT AS support,
+    members % 2 = 0 AS parameter_use, members % 3 = 0 AS template, {one_of("returned", ("1.0", "0.9", "0.75", "0.85"))}::DOUBLE AS times, k % 7 = 0 AS skeleton, k % 6 = 0 AS clean, k % 3 = 1 AS analogous,
+    returned / members::DOUBLE AS confidence, (members % 10) / 10::DOUBLE AS relatedness, (returned % 7) / 8::DOUBLE AS refactorability, (members % 8) / 8::DOUBLE AS tree, members % 6 AS stable, returned % 4 AS holes, members % 9 AS hole_size,
+    (returned % 5) / 5::DOUBLE AS cost0, CASE WHEN k % 4 = 0 THEN 0::DOUBLE ELSE (members % 11) / 16::DOUBLE END AS risk0, returned % 3 AS risks, k % 2 AS shared, members % 2 AS declared, returned % 2 AS unresolved,
+    (k % 8 = 0)::INT AS ambiguous, k % 9 = 0 AS divergent, lines + members AS line_span, members % 20 AS block_lines, members % 14 AS body_lines, files, k % 4 AS roles, returned AS same_role_pairs,
+    CASE WHEN k % 13 = 9 THEN 0 ELSE members % 8 END AS covered, {', '.join(f"CASE WHEN k % 13 = {i} THEN members % 8 ELSE 0 END AS {n}_members" for i, n in enumerate(MEMBERS))},
+    {one_of("k", vocab.TIERS)} AS tier, {one_of("members", ("consolidate_clone", "extract_small_helper", "reuse_existing_helper", "introduce_abstraction", "record_shared_concern", "inspect_shared_lifecycle"))} AS action, {one_of("returned", ("recommended", "cautious"))} AS status
+  FROM m
+)"""
+
+
+def unit(x: str) -> str:
+    return f"greatest(0::DOUBLE, least(1::DOUBLE, {x}))"
+
+
+def bands(c: str, high: float, medium: float) -> str:
+    return f"CASE WHEN {c} >= {high} THEN 'high' WHEN {c} >= {medium} THEN 'medium' WHEN {c} > 0 THEN 'low' ELSE 'none' END AS {c}_band"
+
+
+ASSESSED = f"""{DRAFTS},
+e AS (
+  SELECT *, duplicate_pairs > 0 OR body_matches > 0 OR blocks > 0 OR constants > 0 AS exact, relation_pairs > 0 AS related, greatest(confidence, relatedness * 0.85::DOUBLE) AS base, {unit("(stable - 1) / 4::DOUBLE")} AS stable_ramp FROM d
+),
+f AS (
+  SELECT *, CASE WHEN constants > 0 THEN 0.98::DOUBLE WHEN blocks > 0 OR duplicate_pairs > 0 THEN greatest(0.9::DOUBLE, confidence)
+      WHEN related THEN least(0.85::DOUBLE, (CASE WHEN base = 0 THEN 0.3::DOUBLE ELSE base END) + support * 0.05::DOUBLE)
+      WHEN wrapped THEN CASE WHEN parameter_use THEN 0.72::DOUBLE ELSE 0.58::DOUBLE END WHEN member_count >= 2 THEN 0.18::DOUBLE ELSE 0::DOUBLE END AS found,
+    {unit("""greatest(refactorability, CASE WHEN body_matches > 0 THEN 0.95::DOUBLE ELSE 0 END, CASE WHEN blocks > 0 THEN 0.9::DOUBLE ELSE 0 END, CASE WHEN constants > 0 THEN 0.85::DOUBLE ELSE 0 END, CASE WHEN duplicate_pairs > 0 THEN 0.9::DOUBLE ELSE 0 END,
+      CASE WHEN related THEN greatest(0.65::DOUBLE, tree * 0.75::DOUBLE, relatedness * 0.8::DOUBLE) ELSE 0 END, CASE WHEN member_count >= 2 THEN 0.15::DOUBLE ELSE 0 END) + CASE WHEN shared > 0 AND related AND stable >= 2 THEN 0.05::DOUBLE ELSE 0 END""")} AS common,
+    CASE WHEN skeleton THEN 0.85::DOUBLE WHEN NOT (holes > 0 OR hole_size > 0 OR template) AND related AND NOT exact THEN 0.55::DOUBLE
+      ELSE least(1 - {unit("holes / 4::DOUBLE")}, 1 - {unit("hole_size / 8::DOUBLE")}) END AS simple,
+    least(CASE WHEN cost0 >= 0.65::DOUBLE THEN 0.4::DOUBLE ELSE 1 END, CASE WHEN risk0 >= 0.35::DOUBLE THEN 0.45::DOUBLE WHEN risk0 > 0 THEN greatest(0.45::DOUBLE, 1 - risk0) ELSE 1 END, CASE WHEN stable <= 1 AND related AND NOT skeleton AND NOT exact THEN 0.35::DOUBLE ELSE 1 END) AS most,
+    CASE WHEN risk0 > 0 THEN risk0 ELSE least(1::DOUBLE, 0.12::DOUBLE * (risks + analogous::INT)) END AS structural,
+    greatest(least(1::DOUBLE, 0.18::DOUBLE * declared + 0.08::DOUBLE * unresolved + 0.12::DOUBLE * ambiguous), CASE WHEN divergent THEN 0.45::DOUBLE ELSE 0 END) AS semantic,
+    CASE WHEN blocks > 0 OR duplicate_pairs > 0 THEN 1::DOUBLE WHEN related THEN 0.65::DOUBLE WHEN member_count >= 2 THEN 0.15::DOUBLE ELSE 0::DOUBLE END AS quality,
+    CASE WHEN member_count < 2 THEN 0::DOUBLE ELSE {unit("(member_count - 1) / 5::DOUBLE")} END AS by_members, CASE WHEN files < 2 THEN 0::DOUBLE ELSE {unit("(files - 1) / 4::DOUBLE")} END AS by_files,
+    greatest({unit("(line_span - 12) / 108::DOUBLE")}, {unit("(block_lines - 6) / 12::DOUBLE")}) AS by_volume, [0.7, 1.0, 0.45, 1.0][roles + 1]::DOUBLE AS exposure
+  FROM e
+),
+g AS (
+  SELECT *, CASE WHEN exact THEN greatest(common, stable_ramp) WHEN related THEN common * greatest(0.35::DOUBLE, stable_ramp) ELSE common END AS commonality, quality * {unit("1 - (1 - by_members) * (1 - by_volume) * (1 - by_files)")} * exposure AS worth FROM f
+),
+h AS (
+  SELECT k AS l_partkey, {R4.format("least(1::DOUBLE, found * times)")} AS detection, {R4.format(unit("least(" + unit(unit("commonality") + " * " + unit("greatest(0.15::DOUBLE, simple)") + " * " + unit("greatest(0.2::DOUBLE, 1 - " + unit("cost0") + ")")) + ", most)"))} AS fit,
+    {R4.format(unit("cost0"))} AS cost, {R4.format("greatest(structural, semantic)")} AS risk, {R4.format(unit("CASE WHEN roles = 3 THEN least(0.1::DOUBLE, worth) ELSE worth END"))} AS payoff
+  FROM g
+),
+assessed AS (SELECT *, {bands("detection", 0.75, 0.45)}, {bands("fit", 0.75, 0.45)}, {bands("payoff", 0.75, 0.45)}, {bands("risk", 0.65, 0.30)} FROM h)"""
+
+CAPPED = f"""{DRAFTS},
+r AS (
+  SELECT *, greatest(member_count, 1) AS n, body_lines >= 8 AND stable >= 5 AND same_role_pairs >= relation_pairs AND files = 1 AS solid FROM d
+),
+s AS (
+  SELECT *, CASE {' '.join(f"WHEN {when} THEN '{rule}'" for rule, when in (
+    ("declaration", "declaration_members / n >= 0.8"), ("interface", "interface_members / n >= 0.8"), ("trivial_body", "trivial_members / n >= 0.8"), ("broad_parent", "relation_pairs > 0 AND covered / n < 0.8"), ("example", "example_members / n >= 0.8"),
+    ("test", "test_members > 0 AND NOT (member_count = 2 AND test_members = 2 AND clean)"), ("protocol_or_api", "protocol_members / n >= 0.8 OR api_members / n >= 0.8"), ("constructor", "constructor_members / n >= 0.8"), ("special_method", "special_members / n >= 0.8")))} END AS rule FROM r
+),
+t AS (
+  SELECT *, CASE rule WHEN 'declaration' THEN CASE WHEN api_members / n >= 0.8 THEN 'maintenance_note' ELSE 'observation' END WHEN 'interface' THEN 'observation' WHEN 'trivial_body' THEN 'maintenance_note' WHEN 'broad_parent' THEN 'maintenance_note'
+    WHEN 'example' THEN 'observation' WHEN 'test' THEN 'review_candidate' WHEN 'protocol_or_api' THEN CASE WHEN solid THEN 'review_candidate' ELSE 'maintenance_note' END WHEN 'constructor' THEN 'review_candidate'
+    WHEN 'special_method' THEN CASE WHEN body_lines <= 5 THEN 'maintenance_note' ELSE 'review_candidate' END ELSE 'recommended_edit' END AS most FROM s
+),
+u AS (SELECT *, list_position({listed(vocab.TIERS)}, tier) < list_position({listed(vocab.TIERS)}, most) AS lowered FROM t)"""
+
 SETS = """sets AS (SELECT l_orderkey AS key, list_sort(list(DISTINCT CAST(CAST(l_quantity % 9 AS INTEGER) AS VARCHAR))) AS members FROM lineitem GROUP BY 1)"""
 
 NAME = """CASE WHEN l = r THEN 1.0::DOUBLE
@@ -189,15 +269,16 @@ SELECT u AS user_id, sum(j) / count(*) AS similarity FROM j GROUP BY u""",
         "group_structural_metrics": f"""WITH {ITEMS}, k AS (SELECT doc_id AS b, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1)
 SELECT a AS doc_id, count(*) AS edges, count(*) FILTER (similarity = 1) AS exact, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality IS NULL) AS unlabelled, max(similarity) AS strongest, min(edges.b) AS first_neighbour, max(edges.b) AS last_neighbour
 FROM edges LEFT JOIN k ON k.b = edges.b GROUP BY a""",
-        "noisy_or_payoff": f"WITH {SCORED} SELECT l_partkey, payoff FROM scored",
+        "noisy_or_payoff": f"WITH {ASSESSED} SELECT l_partkey, payoff, payoff_band FROM assessed",
         "ramp_scores": """WITH r AS (SELECT o_orderkey, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (o_totalprice - 50000.0::DOUBLE) / 150000.0::DOUBLE)) AS x, greatest(0.0::DOUBLE, least(1.0::DOUBLE, o_totalprice / 400000.0::DOUBLE)) AS z FROM orders)
 SELECT o_orderkey, floor(x * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS ramp, floor((1.0::DOUBLE - x) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS inverse, floor(z * 0.5::DOUBLE * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS product FROM r""",
-        "fit_score": f"WITH {SCORED} SELECT l_partkey, fit, cost FROM scored",
-        "risk_score": f"WITH {SCORED} SELECT l_partkey, risk FROM scored",
-        "detection_ladder": f"WITH {SCORED} SELECT l_partkey, detection FROM scored",
+        "fit_score": f"WITH {ASSESSED} SELECT l_partkey, fit, cost, fit_band FROM assessed",
+        "risk_score": f"WITH {ASSESSED} SELECT l_partkey, risk, risk_band FROM assessed",
+        "detection_ladder": f"WITH {ASSESSED} SELECT l_partkey, detection, detection_band FROM assessed",
         "review_tier": f"WITH {TIERED} SELECT l_partkey, detection_band, risk_band, tier FROM tiered",
-        "semantic_cap": f"""WITH {TIERED}, r AS (SELECT *, CASE WHEN returned = 0 THEN 'declaration' WHEN members < 10 THEN 'trivial' WHEN returned / CAST(members AS DOUBLE) >= 0.8 THEN 'dominant' END AS rule FROM tiered)
-SELECT l_partkey, rule, CASE WHEN rule = 'declaration' THEN 'observation' WHEN rule IS NOT NULL AND tier IN ('recommended_edit', 'review_candidate') THEN 'maintenance_note' ELSE tier END AS tier FROM r""",
+        "semantic_cap": f"""WITH {CAPPED} SELECT k AS l_partkey, rule, CASE WHEN lowered THEN most ELSE tier END AS tier,
+CASE WHEN NOT lowered OR action IN ('record_shared_concern', 'inspect_shared_lifecycle') THEN action WHEN most = 'review_candidate' THEN CASE WHEN rule = 'constructor' THEN 'extract_small_helper' ELSE action END WHEN most = 'maintenance_note' THEN 'record_shared_concern' ELSE 'do_not_refactor' END AS action,
+CASE WHEN lowered AND status = 'recommended' THEN 'cautious' ELSE status END AS status FROM u""",
         "summary_eligible": f"WITH {TIERED} SELECT tier, count(*) AS n, count(*) FILTER (members > 1 AND files > 1 AND risk < 0.65) AS eligible FROM tiered GROUP BY tier",
         "equivalence_dedupe": f"WITH {SETS} SELECT key, array_to_string(members, ',') AS members FROM sets JOIN orders ON o_orderkey = key QUALIFY row_number() OVER (PARTITION BY members ORDER BY o_totalprice DESC, key) = 1",
         "subsumed_anti_join": """WITH s AS (SELECT l_orderkey AS key, list(DISTINCT CAST(CAST(l_quantity % 9 AS INTEGER) AS VARCHAR)) AS members FROM lineitem GROUP BY 1),
