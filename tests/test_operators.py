@@ -110,7 +110,7 @@ def test_queries_have_sql(spark, sf):
     def plain(rows):
         return sorted(repr([float(f"{v:.10g}") if isinstance(v, float) else v for v in r]) for r in rows)
 
-    for name in ("content_edges", "maximal_runs", "bucket_pairs", "ranked_findings", "subsumed_anti_join", "name_similarity", "mean_jaccard_by_key", "file_selection", "detection_ladder", "fit_score", "risk_score", "noisy_or_payoff", "semantic_cap"):
+    for name in ("content_edges", "maximal_runs", "bucket_pairs", "ranked_findings", "subsumed_anti_join", "name_similarity", "mean_jaccard_by_key", "file_selection", "detection_ladder", "fit_score", "risk_score", "noisy_or_payoff", "review_tier", "semantic_cap"):
         d = queries[name](spark, sf)
         columns = sorted(d.columns)
         got = plain(tuple(r) for r in d.select(*columns).collect())

@@ -341,7 +341,10 @@ def tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiered(spark, sf_dir).select("l_partkey", "detection_band", "risk_band", "tier")
+    """Drafts with an action asked for: the gates that fail, the action that is left, its status, attention and tier."""
+    asked = drafts(spark, sf_dir).withColumnRenamed("action", "requested_action").drop("tier", "status")
+    out = assess.classify(assess.recommend(assess.score(asked)))
+    return out.select("l_partkey", "detection_band", "risk_band", F.size("failed_gates").cast("long").alias("failed"), "action", "status", "attention", "tier")
 
 
 def semantic_cap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,50 @@ h AS (
 ),
 assessed AS (SELECT *, {bands("detection", 0.75, 0.45)}, {bands("fit", 0.75, 0.45)}, {bands("payoff", 0.75, 0.45)}, {bands("risk", 0.65, 0.30)} FROM h)"""
 
+EDITS = "('consolidate_clone', 'extract_small_helper', 'reuse_existing_helper', 'introduce_abstraction')"
+NOTES = "('record_shared_concern', 'inspect_shared_lifecycle')"
+
+DECIDED = f"""{ASSESSED},
+v AS (
+  SELECT * EXCLUDE (tier, status, action), action AS asked, duplicate_pairs > 0 OR body_matches > 0 OR blocks > 0 OR constants > 0 AS exact, CASE WHEN blocks > 0 THEN block_lines ELSE body_lines END AS body,
+    clean AND (body_matches > 0 OR tree >= 0.95) AND same_role_pairs >= CASE WHEN duplicate_pairs > 0 THEN duplicate_pairs ELSE relation_pairs END AS clone,
+    (NOT clean)::INT + (NOT (body_matches > 0 OR tree >= 0.95))::INT + (same_role_pairs < CASE WHEN duplicate_pairs > 0 THEN duplicate_pairs ELSE relation_pairs END)::INT AS not_clone
+  FROM assessed JOIN d ON k = l_partkey
+),
+w AS (SELECT *, blocks > 0 AND body >= 5 AS block, detection < 0.35 AS unsure FROM v),
+x AS (
+  SELECT *, asked IN {EDITS} AND NOT (payoff >= 0.12 OR block OR (asked = 'consolidate_clone' AND skeleton)) AS unpaid,
+    CASE asked WHEN 'consolidate_clone' THEN not_clone + (risk > 0.3)::INT + (cost > 0.25)::INT
+      WHEN 'extract_small_helper' THEN (blocks > 0 AND NOT block)::INT + 2 * (blocks = 0 AND NOT wrapped)::INT + (body NOT BETWEEN 1 AND 12)::INT + (cost > 0.25)::INT + (risk > 0.2)::INT
+      WHEN 'reuse_existing_helper' THEN 4 * (NOT wrapped)::INT + (risk >= 0.65)::INT + (cost >= 0.65)::INT
+      WHEN 'introduce_abstraction' THEN (stable < 2 AND constants = 0)::INT + (holes > 2)::INT + (hole_size > 3)::INT + (risk > 0.2)::INT + (cost > 0.45)::INT + analogous::INT
+      ELSE (detection = 0)::INT END AS others
+  FROM w
+),
+y AS (
+  SELECT *, unsure::INT + unpaid::INT + others AS failed,
+    CASE WHEN unsure::INT + unpaid::INT + others = 0 THEN asked WHEN unsure THEN 'observe' WHEN unpaid AND others = 0 THEN asked
+      WHEN asked IN ('introduce_abstraction', 'extract_small_helper') THEN CASE WHEN detection > 0 THEN 'record_shared_concern' ELSE 'observe' END WHEN asked = 'consolidate_clone' THEN 'do_not_refactor' ELSE asked END AS action
+  FROM x
+),
+z AS (SELECT *, CASE WHEN action IN {EDITS} THEN {R4.format("detection * fit * payoff * (1 - greatest(risk, cost))")} ELSE 0::DOUBLE END AS score FROM y),
+aa AS (
+  SELECT *, CASE WHEN action = 'do_not_refactor' THEN 'not_recommended' WHEN action = 'observe' OR action IN {NOTES} THEN 'cautious' WHEN risk >= 0.65 OR cost >= 0.65 THEN 'not_recommended' WHEN failed > 0 AND action = asked THEN 'cautious'
+      WHEN action = 'consolidate_clone' AND (skeleton OR score >= 0.12) THEN 'recommended' WHEN action = 'introduce_abstraction' AND constants > 0 AND risk <= 0.2 AND cost <= 0.45 THEN 'recommended'
+      WHEN action = 'extract_small_helper' AND block AND risk <= 0.2 AND cost <= 0.25 THEN 'recommended' WHEN score >= 0.42 AND risk < 0.3 THEN 'recommended' ELSE 'cautious' END AS status,
+    action IN {EDITS} AS edit, action IN {NOTES} AS note, action = 'consolidate_clone' AND clone AS pure, action = 'extract_small_helper' AND blocks > 0 AS helper, action = 'reuse_existing_helper' AND wrapped AS reuse,
+    detection_band IN ('high', 'medium') AS sure, payoff_band IN ('high', 'medium') AS pays, fit_band IN ('high', 'medium') AS fits
+  FROM z
+),
+ab AS (SELECT *, note AND (exact OR relation_pairs > 0 OR wrapped) AND detection >= 0.75 AND payoff_band = 'high' AND (risk_band IN ('high', 'medium') OR cost >= 0.65) AS concern FROM aa),
+ac AS (SELECT *, CASE WHEN reuse THEN greatest(0.12::DOUBLE, score) WHEN edit THEN score WHEN concern THEN {R4.format("detection * payoff * greatest(risk, cost)")} ELSE 0::DOUBLE END AS attention FROM ab),
+decided AS (
+  SELECT *, CASE WHEN edit AND status = 'recommended' AND (score >= 0.42 OR pure OR (helper AND body BETWEEN 5 AND 12)) AND (detection_band = 'high' OR pure) AND (pays OR pure) AND fits AND risk_band IN ('none', 'low') THEN 'recommended_edit'
+      WHEN attention >= 0.12 AND ((edit AND sure AND risk_band <> 'high' AND (reuse OR ((pays OR pure) AND fits AND (pays OR status = 'recommended')))) OR concern) THEN 'review_candidate'
+      WHEN (note AND sure) OR (action = 'do_not_refactor' AND detection_band = 'high' AND pays) OR (edit AND sure AND (helper OR fit_band = 'low' OR payoff_band = 'low')) THEN 'maintenance_note' ELSE 'observation' END AS tier
+  FROM ac
+)"""
+
 CAPPED = f"""{DRAFTS},
 r AS (
   SELECT *, greatest(member_count, 1) AS n, body_lines >= 8 AND stable >= 5 AND same_role_pairs >= relation_pairs AND files = 1 AS solid FROM d
@@ -275,7 +319,7 @@ SELECT o_orderkey, floor(x * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS
         "fit_score": f"WITH {ASSESSED} SELECT l_partkey, fit, cost, fit_band FROM assessed",
         "risk_score": f"WITH {ASSESSED} SELECT l_partkey, risk, risk_band FROM assessed",
         "detection_ladder": f"WITH {ASSESSED} SELECT l_partkey, detection, detection_band FROM assessed",
-        "review_tier": f"WITH {TIERED} SELECT l_partkey, detection_band, risk_band, tier FROM tiered",
+        "review_tier": f"WITH {DECIDED} SELECT l_partkey, detection_band, risk_band, CAST(failed AS BIGINT) AS failed, action, status, attention, tier FROM decided",
         "semantic_cap": f"""WITH {CAPPED} SELECT k AS l_partkey, rule, CASE WHEN lowered THEN most ELSE tier END AS tier,
 CASE WHEN NOT lowered OR action IN ('record_shared_concern', 'inspect_shared_lifecycle') THEN action WHEN most = 'review_candidate' THEN CASE WHEN rule = 'constructor' THEN 'extract_small_helper' ELSE action END WHEN most = 'maintenance_note' THEN 'record_shared_concern' ELSE 'do_not_refactor' END AS action,
 CASE WHEN lowered AND status = 'recommended' THEN 'cautious' ELSE status END AS status FROM u""",
