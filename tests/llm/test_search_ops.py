@@ -291,6 +291,71 @@ def test_exact_passages_behind_a_looser_variant(spark):
     assert got == {(3000 + k, 2000 + k) for k in range(40)} | {(10_001 + 2 * k, 10_000 + 2 * k) for k in range(10)}
 
 
+def variants_corpus(seed, n=60):
+    """Documents of edited, also shortened, copies of six passages and edited copies of these copies."""
+    r = random.Random(seed)
+    once = lambda: f"u{r.random()}"
+    variants = []
+    for b in range(6):
+        of = [[f"b{b}w{i}" for i in range(r.choice([50, 56, 64, 90]))]]
+        for _ in range(6):
+            v = list(r.choice(of))
+            for _ in range(r.randint(1, 2)):
+                v[r.randrange(len(v))] = once()
+            of.append(v)
+        variants.append(of)
+    docs = {}
+    for d in range(n):
+        words = []
+        for _ in range(r.randint(1, 3)):
+            v = r.choice(r.choice(variants))
+            if r.random() < 0.3:
+                a = r.randint(0, 20)
+                v = v[a : a + r.randint(30, 80)]
+            words += [*(once() for _ in range(r.randint(0, 70))), *v]
+        docs[d] = " ".join([*words, *(once() for _ in range(r.randint(0, 70)))])
+    return docs
+
+
+def smallest_reachable(nodes, links):
+    root = {d: d for d in nodes}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_classes_and_repeated_words_are_those_of_all_pairs(spark, seed):
+    docs = variants_corpus(seed)
+    known = {d: substring.Known(t) for d, t in docs.items()}
+    links, want, got = [], {d: set() for d in docs}, {d: set() for d in docs}
+    for a in docs:
+        for b in range(a):
+            found = substring.verified(known[a], known[b])
+            links += [(a, b)] * bool(found)
+            for p, q, x, y, _ in found:
+                shared = np.flatnonzero(np.isin(known[a].h[p : q - 4], known[b].h[x : y - 4])) + p
+                want[a] |= {int(t) + k for t in shared for k in range(5)}
+    rows = substring.near_duplicate_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    for x in rows:
+        got[x.doc_id] |= set(range(x.start, x.end))
+    assert {(x.doc_id, x.source_doc_id) for x in rows} <= set(links)
+    roots = smallest_reachable(docs, links)
+    assert {x.doc_id: x.class_id for x in rows} == {a: roots[a] for a, _ in links}
+    assert all(want[d] <= got[d] for d in docs)
+
+
+def test_near_repeats_of_a_document_that_another_one_stands_for(spark):
+    """Documents 2 and 3 have a passage in common; 9 has a near repeat of another one of 3, which shares its signatures with a stock phrase of all."""
+    stock, linking, tail = ([f"{x}{i}" for i in range(n)] for x, n in (("s", 44), ("l", 60), ("t", 18)))
+    only = lambda d, n: [f"o{d}x{n}y{i}" for i in range(60)]
+    docs = {1: [*only(1, 0), *stock, *only(1, 1)], 9: [*only(9, 0), *stock, "edited", *tail, *only(9, 1)]}
+    docs |= {d: [*only(d, 0), *linking, *only(d, 1), *stock, *(["word", *tail] if d == 3 else []), *only(d, 2)] for d in (2, 3)}
+    got = substring.near_duplicate_passages(spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.source_doc_id, x.class_id) for x in got} == {(3, 2, 2), (9, 3, 2)}
+
+
 def test_texts_that_share_an_id(spark):
     p, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(70))
     rows = [(1, p, 9), (1, own, 9), (1, own + " " + p, 9), (2, own, 9), (2, "short", 9), (2, "short", 9)]
