@@ -325,11 +325,10 @@ def smallest_reachable(nodes, links):
     return root
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_classes_and_repeated_words_are_those_of_all_pairs(spark, seed):
-    docs = variants_corpus(seed)
+def links_and_repeated_words(docs):
+    """By brute force: pairs that share a passage, and for each document the words of its passages that an earlier one has."""
     known = {d: substring.Known(t) for d, t in docs.items()}
-    links, want, got = [], {d: set() for d in docs}, {d: set() for d in docs}
+    links, want = [], {d: set() for d in docs}
     for a in docs:
         for b in range(a):
             found = substring.verified(known[a], known[b])
@@ -337,6 +336,14 @@ def test_classes_and_repeated_words_are_those_of_all_pairs(spark, seed):
             for p, q, x, y, _ in found:
                 shared = np.flatnonzero(np.isin(known[a].h[p : q - 4], known[b].h[x : y - 4])) + p
                 want[a] |= {int(t) + k for t in shared for k in range(5)}
+    return links, want
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_classes_and_repeated_words_are_those_of_all_pairs(spark, seed):
+    docs = variants_corpus(seed)
+    links, want = links_and_repeated_words(docs)
+    got = {d: set() for d in docs}
     rows = substring.near_duplicate_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     for x in rows:
         got[x.doc_id] |= set(range(x.start, x.end))
@@ -346,6 +353,15 @@ def test_classes_and_repeated_words_are_those_of_all_pairs(spark, seed):
     assert all(want[d] <= got[d] for d in docs)
 
 
+def test_pipeline_drops_the_repeated_words_of_all_pairs(spark):
+    docs = variants_corpus(0)
+    _, want = links_and_repeated_words(docs)
+    rows = spark.createDataFrame([(d, t, len(t)) for d, t in docs.items()], "doc_id long, text string, n_chars int")
+    kept = {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_passages(spark, rows, "").collect()}
+    for d, t in docs.items():
+        assert len(kept.get(d, "").split()) <= len(t.split()) - len(want[d])
+
+
 def test_near_repeats_of_a_document_that_another_one_stands_for(spark):
     """Documents 2 and 3 have a passage in common; 9 has a near repeat of another one of 3, which shares its signatures with a stock phrase of all."""
     stock, linking, tail = ([f"{x}{i}" for i in range(n)] for x, n in (("s", 44), ("l", 60), ("t", 18)))
