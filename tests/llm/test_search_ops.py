@@ -372,6 +372,38 @@ def test_near_repeats_of_a_document_that_another_one_stands_for(spark):
     assert {(x.doc_id, x.source_doc_id, x.class_id) for x in got} == {(3, 2, 2), (9, 3, 2)}
 
 
+def whole_passages(docs):
+    """By brute force: for each document the words of its passages that an earlier one has, and those between them."""
+    known = {d: substring.Known(t) for d, t in docs.items()}
+    want = {d: set() for d in docs}
+    for a in docs:
+        for b in (b for b in docs if b < a):
+            for p, q, x, y, _ in substring.verified(known[a], known[b]):
+                shared = np.flatnonzero(np.isin(known[a].h[p : q - 4], known[b].h[x : y - 4])) + p
+                want[a] |= set(range(int(shared[0]), int(shared[-1]) + 5))
+    return want
+
+
+def test_edited_words_inside_a_passage_of_two_covered_halves(spark):
+    """Document 9 has one half from 1 and the other from 2; only 3 has both around a word, so the pair (9, 3) makes the word a part of a passage."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    around = lambda d, *w: " ".join([*(f"o{d}y{i}" for i in range(30)), *(x for part in w for x in part), *(f"p{d}y{i}" for i in range(30))])
+    docs = {1: around(1, a), 2: around(2, b), 3: around(3, a, ["word"], b), 9: around(9, a, ["edited"], b)}
+    rows = spark.createDataFrame([(d, t, len(t)) for d, t in docs.items()], "doc_id long, text string, n_chars int")
+    kept = {x.doc_id: x.text for x in corpus_pipeline.drop_repeated_passages(spark, rows, "").collect()}
+    assert kept == docs | {3: around(3, ["word"]), 9: around(9)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pipeline_drops_whole_passages_of_all_pairs(spark, seed):
+    docs = variants_corpus(seed)
+    found = substring.found_in(spark.createDataFrame(list(docs.items()), "doc long, text string")).collect()
+    got = {d: set() for d in docs}
+    for x in found:
+        got[x.doc] |= set(range(x.start, x.end))
+    assert all(w <= got[d] for d, w in whole_passages(docs).items())
+
+
 def test_texts_that_share_an_id(spark):
     p, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(70))
     rows = [(1, p, 9), (1, own, 9), (1, own + " " + p, 9), (2, own, 9), (2, "short", 9), (2, "short", 9)]
