@@ -463,6 +463,27 @@ def test_toxicity_counts_labels_that_the_curve_leaves(spark, monkeypatch):
     assert sum(k != toxicity.OTHER for k in kinds) >= len(learnable) - 10
 
 
+def test_words_of_latin_texts_are_those_of_the_pattern():
+    r = random.Random(3)
+    texts = ["".join(chr(r.choice([r.randrange(256), r.randrange(0x400), 65])) for _ in range(r.randrange(30))) for _ in range(2000)] + [f"a{chr(k)}B" for k in range(0x250)]
+    assert all(toxicity.all_words(t) == toxicity.LETTERS.findall(t.lower()) for t in texts)
+
+
+def test_toxicity_features_are_each_texts_own():
+    words = [f"w{k}" for k in range(40)]
+    owner, orders = toxicity.grams(words)
+    gram = np.unique(np.concatenate([h[top] for _, _, h, _, _, top in orders]).view(np.int64))
+    r = random.Random(4)
+    texts = [None, "", *(" ".join(r.choice(words) for _ in range(r.randint(1, 12))) for _ in range(300)), "w1 w1 w1", ""]
+    model = toxicity.Model(gram, np.linspace(-1, 1, len(gram)))
+    one = dict(zip(words, toxicity.Model(gram, np.linspace(-1, 1, len(gram))).differences(words), strict=True))
+    for text, row in zip(texts, model.features(texts), strict=True):
+        own = toxicity.words_of(text)
+        ratio = lambda part: sum(one[w] for w in part) / sum(len(w) + 1 for w in part)
+        want = (ratio(own), max(ratio(own[k : k + 4]) for k in range(max(1, len(own) - 3)))) if own else (0, 0)
+        assert np.allclose(row, want, atol=1e-9)
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_corpus(spark, 20)
     assert {(r.score, r.predicted) for r in toxicity.classify(docs, labels.limit(0)).collect()} == {(0.0, 0)}

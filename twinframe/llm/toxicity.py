@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +49,24 @@ BROADCAST_LABELS = 1_000_000
 THRESHOLD = 0.3
 
 LETTERS = re.compile(r"[^\W_]+")
+#: All bytes of Latin-1, spaces for those that LETTERS leaves out.
+LATIN = bytes(k if LETTERS.fullmatch(chr(k)) else 0x20 for k in range(256))
 TOXIC, ORDINARY, OTHER = 1, 0, 2
 
 
+def all_words(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and digits; texts of Latin-1 only are cut without the pattern, which is faster."""
+    lower = (text or "").lower()
+    try:
+        return lower.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return LETTERS.findall(lower)
+
+
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits; of a word repeated in a row, one, so that junk doesn't pile up evidence."""
-    words = LETTERS.findall((text or "").lower())
-    return [w for w, last in zip(words, ["", *words], strict=False) if w != last]
+    """All words; of a word repeated in a row, one, so that junk doesn't pile up evidence."""
+    words = all_words(text)
+    return list(compress(words, map(ne, words, ["", *words])))
 
 
 def grams(words: list[str]):
@@ -63,7 +76,7 @@ def grams(words: list[str]):
     joined words' symbols; top n-grams end a longest context: those of the last order and those that begin with their word's
     start mark. An n-gram never reaches beyond that mark.
     """
-    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer((f"\x02{'\x03\x02'.join(words)}\x03" if words else "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -96,11 +109,14 @@ def counted(words: list[Counter]) -> Iterator[pa.RecordBatch]:
     every = list(weights)
     for a in range(0, len(every), GRAM_WORDS):
         part = every[a : a + GRAM_WORDS]
-        n_of = np.array([[words[0][w], words[1][w], weights[w]] for w in part], np.int64)
+        n_of = [np.fromiter((c.get(w, 0) for w in part), np.int64, len(part)) for c in (words[0], words[1], weights)]
         owner, orders = grams(part)
         for n, at, h, context, suffix, top in orders:
-            gram, first, which = np.unique(h, return_index=True, return_inverse=True)
-            sums = [np.bincount(which, n_of[owner[at], k], len(gram)).astype(np.int64) for k in range(3)]
+            order = np.argsort(h)
+            each = h[order]
+            start = np.flatnonzero(np.append(True, each[1:] != each[:-1])[: len(each)])
+            gram, first, of = each[start], order[start], owner[at[order]]
+            sums = [np.add.reduceat(k[of], start) if len(start) else k[:0] for k in n_of]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context[first], suffix[first])), pa.array(top[first]), *map(pa.array, sums)], names=["n", "gram", "context", "suffix", "top", "toxic", "ordinary", "total"])
 
 
@@ -174,10 +190,15 @@ class Model:
     def __init__(self, gram: np.ndarray, gain: np.ndarray):
         order = np.argsort(gram)
         self.gram, self.gain = gram[order], gain[order].astype(np.float32)
-        self.memo: dict[str, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memo: words' places in the arrays of their differences and lengths."""
+        self.memo: dict[str, int] = {}
+        self.difference, self.length = np.zeros(0), np.zeros(0)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "difference": np.zeros(0), "length": np.zeros(0)}
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of n-grams (0 for those that it lacks) and whether it has them."""
@@ -204,32 +225,42 @@ class Model:
         more: for each text None, or rows (gram, gain) of the n-grams that the model lacks.
         """
         out = np.zeros((len(texts), 2))
-        found = [LETTERS.findall((t or "").lower()) for t in texts]
+        found = [all_words(t) for t in texts]
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        missing = list(set().union(*found).difference(self.memo))
+            self.forget()
+        every = list(chain.from_iterable(found))
+        missing = list(set(every).difference(self.memo))
         for a in range(0, len(missing), GRAM_WORDS):
-            self.memo.update(zip(missing[a : a + GRAM_WORDS], self.differences(missing[a : a + GRAM_WORDS]).tolist(), strict=True))
-        for i, words in enumerate(found):
-            if words:
-                memo = self.memo
-                if more is not None and more[i]:
-                    rest, own = Model(*(np.array([x[k] for x in more[i]], t) for k, t in (("gram", np.int64), ("gain", np.float64)))), sorted(set(words))
-                    memo = {w: memo[w] + d for w, d in zip(own, rest.differences(own).tolist(), strict=True)}
-                out[i] = self._features(words, memo)
+            part = missing[a : a + GRAM_WORDS]
+            self.memo.update(zip(part, range(len(self.memo), len(self.memo) + len(part)), strict=True))
+            self.difference = np.append(self.difference, self.differences(part))
+            self.length = np.append(self.length, np.fromiter(map(len, part), np.float64, len(part)) + 1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        word, owner = np.fromiter(map(self.memo.__getitem__, every), np.int64, len(every)), np.repeat(np.arange(len(found)), sizes)
+        d = self.difference[word]
+        for i, words in enumerate(found if more is not None else ()):
+            if words and more[i]:
+                rest, own = Model(*(np.array([x[k] for x in more[i]], t) for k, t in (("gram", np.int64), ("gain", np.float64)))), sorted(set(words))
+                added = dict(zip(own, rest.differences(own).tolist(), strict=True))
+                end = int(sizes[: i + 1].sum())
+                d[end - len(words) : end] += np.fromiter(map(added.__getitem__, words), np.float64, len(words))
+        once = np.append(True, (word[1:] != word[:-1]) | (owner[1:] != owner[:-1]))[: len(word)]  # as words_of(): a word in a row counts once
+        d, letters, owner = d[once], self.length[word[once]], owner[once]
+        sizes = np.bincount(owner, minlength=len(found))
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return out
+        starts = (np.cumsum(sizes) - sizes)[some]
+        out[some] = (np.add.reduceat(d, starts) / np.add.reduceat(letters, starts))[:, None]
+        n = len(d) - WINDOW + 1
+        if n > 0:  # sums of each window by itself, which no other text changes
+            whole = owner[:n] == owner[WINDOW - 1 :]
+            ratio = sum(d[k : k + n] for k in range(WINDOW)) / sum(letters[k : k + n] for k in range(WINDOW))
+            most = np.maximum.reduceat(np.append(np.where(whole, ratio, -np.inf), np.full(WINDOW - 1, -np.inf)), starts)
+            long = sizes[some] > WINDOW
+            out[some[long], 1] = most[long]
         return out
 
-    def _features(self, words: list[str], memo: dict[str, float]) -> tuple[float, float]:
-        d = np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
-        letters = np.fromiter(map(len, words), np.float64, len(words)) + 1
-        once = np.append(True, [w != last for w, last in zip(words[1:], words, strict=False)]) if (d[1:] == d[:-1]).any() else slice(None)  # as words_of(): a word in a row counts once
-        d, letters = d[once], letters[once]
-        whole = d.sum() / letters.sum()
-        if len(d) <= WINDOW:
-            return whole, whole
-        a, b = np.cumsum(np.insert(d, 0, 0.0)), np.cumsum(np.insert(letters, 0, 0.0))
-        return whole, float(((a[WINDOW:] - a[:-WINDOW]) / (b[WINDOW:] - b[:-WINDOW])).max())
-
 
 def curve_of(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression on the two features, by Newton steps with a little ridge; fixed ones unless both classes occur."""
@@ -279,7 +310,7 @@ class Fitted:
                 parts = [m.features(texts.slice(a, ROWS_AT_ONCE).to_pylist(), more.slice(a, ROWS_AT_ONCE).to_pylist()) for a in range(0, len(texts), ROWS_AT_ONCE)]
                 flat = np.concatenate([np.zeros((0, 2)), *parts])
                 yield pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(flat) + 1, 2, dtype=np.int32)), pa.array(flat.ravel()))
-            m.memo.clear()
+            m.forget()
             release()
 
         if self.rest is None:
