@@ -124,6 +124,33 @@ def test_equal_stretches_share_a_signature():
         assert a & b
 
 
+def test_signatures_of_texts_taken_together_are_those_of_compact_windows():
+    r = random.Random(9)
+    texts = [" ".join(r.choice([f"w{r.randrange(400)}", "a", "b"]) for _ in range(r.choice([0, 3, 60, 200]))) for _ in range(60)] + ["x " * 300, None]
+    h, starts = substring.tokens_of(texts)
+    for least in (5, 21):
+        got = list(zip(*(x.tolist() for x in substring.keys_of(h, starts, least, 0)[1:3]), strict=True))
+        half, want = (least + 1) // 2, set()
+        for k, t in enumerate(texts):
+            own = substring.tokens(t)
+            assert own.tolist() == h[starts[k] : starts[k + 1]].tolist()
+            for lo, c, hi in substring.compact_windows(substring.signatures(own, 0), least).tolist():
+                want |= {(k, c)} if c - lo >= half - 1 or hi - c >= least - half + 1 else set()
+            key, c, _ = substring.keys(own, least, 0)
+            assert sorted(c.tolist()) == sorted(c for of, c in got if of == k)
+        assert set(got) <= want and len(set(got)) > 0.5 * len(want)
+
+
+def test_pairs_are_dealt_once(spark, monkeypatch):
+    """The join of pairs with their source's chunks is planned for one write, not again for each use of its rows."""
+    seen, stage = [], substring.stage
+    monkeypatch.setattr(substring, "stage", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    words = " ".join(f"w{k}" for k in range(60))
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 40)], "doc long, source long")
+    assert substring.compare(pairs, spark.createDataFrame([(k, words) for k in range(40)], "doc long, text string")).count() == 39
+    assert sum(plan.count("Join LeftOuter") for plan in seen) == 1
+
+
 def test_alike_passages_share_a_stretch():
     """The longest stretch that two passages of 50 words or more at 0.8 have in common is never shorter than run()."""
     r = random.Random(12)
