@@ -431,6 +431,68 @@ def test_pipeline_drops_whole_passages_of_all_pairs(spark, seed):
     assert all(w <= got[d] for d, w in whole_passages(docs).items())
 
 
+def edited_copies(seed, n, words=240, share=0.1):
+    """Copies of one text in which other words, of a few, stand at a share of the places."""
+    r = random.Random(seed)
+    return {d: " ".join(f"e{r.randrange(4)}" if r.random() < share else f"w{i}" for i in range(words)) for d in range(n)}
+
+
+def test_pairs_left_are_settled_at_once(spark, monkeypatch):
+    """Documents left at signatures are listed, not joined pair by pair in rounds; classes and words are those of all pairs."""
+    docs, seen, calls = edited_copies(0, 40), [], []
+    stage, viable = substring.stage, substring.viable
+    monkeypatch.setattr(substring, "stage", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    monkeypatch.setattr(substring, "viable", lambda *a: calls.append(1) or viable(*a))
+    found = substring.found_in(spark.createDataFrame(list(docs.items()), "doc long, text string")).collect()
+    assert len(calls) == 1 and not any("doc#" in line and "Join Inner" in line and " > y#" in line for plan in seen for line in plan.splitlines())
+    got = {d: set() for d in docs}
+    for x in found:
+        got[x.doc] |= set(range(x.start, x.end))
+    assert all(w <= got[d] for d, w in whole_passages(docs).items())
+    links, _ = links_and_repeated_words(docs)
+    assert smallest_reachable(docs, [(x.doc, x.source) for x in found]) == smallest_reachable(docs, links)
+
+
+def test_documents_lists_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(substring, "KEPT", 3)
+    rows = [(d, [(s, s % 2) for s in range(k, d)]) for d in (5, 6, 9) for k in range(5)] * 2
+    got = substring.once(spark.createDataFrame(rows, "doc long, others array<struct<source: long, root: long>>")).collect()
+    assert sorted(map(tuple, got)) == [(d, s, s % 2) for d in (5, 6, 9) for s in range(d)]
+
+
+@pytest.mark.parametrize("least", [3, 400])
+def test_pairs_in_several_parts(spark, monkeypatch, least):
+    """Lists and sources of a document are dealt to several, and nothing is lost by that."""
+    monkeypatch.setattr(substring, "LISTED", least)
+    monkeypatch.setattr(substring, "TOGETHER", least)
+    docs = edited_copies(1, 30)
+    got = {d: set() for d in docs}
+    for x in substring.found_in(spark.createDataFrame(list(docs.items()), "doc long, text string")).collect():
+        got[x.doc] |= set(range(x.start, x.end))
+    assert all(w <= got[d] for d, w in whole_passages(docs).items())
+
+
+def test_no_passage_is_hopeless():
+    """Each word of a passage, but for words that fill it up, gives hope; also among repeated and moved words."""
+    r = random.Random(3)
+    for case in range(300):
+        words = [f"w{r.randrange([10**6, 60, 8][case % 3])}" if case % 3 else f"w{i}" for i in range(r.randint(50, 160))]
+        other = [f"e{r.randrange(5)}" if r.random() < r.choice([0.0, 0.02, 0.06]) else w for w in words]
+        if case % 4 == 0:
+            k = r.randrange(len(other))
+            other = other[k:] + other[:k]
+        if case % 5 == 0:
+            k = r.randrange(len(other))
+            other[k:k] = [f"i{r.randrange(9)}" for _ in range(r.randint(1, 8))] * r.choice([1, 1, 2])
+        a, b = substring.Known(" ".join([*words, *(f"x{i}" for i in range(30))])), substring.Known(" ".join([*(f"y{i}" for i in range(20)), *other]))
+        for p, q, x, y, _ in substring.verified(a, b):
+            shared = np.flatnonzero(np.isin(a.h[p : q - 4], b.h[x : y - 4])) + p
+            for k in range(int(shared[0]), int(shared[-1]) + 5):
+                free = np.zeros(len(a.h) + 4, bool)
+                free[k] = True
+                assert substring.hopeful(a, b, free)
+
+
 def test_texts_that_share_an_id(spark):
     p, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(70))
     rows = [(1, p, 9), (1, own, 9), (1, own + " " + p, 9), (2, own, 9), (2, "short", 9), (2, "short", 9)]
